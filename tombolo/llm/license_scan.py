@@ -33,6 +33,8 @@ TEMPLATES = (
     ("apache-2.0-notice", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
     ("gpl-notice", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("gpl-line", "under the terms of the gnu general public license"),
+    ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
+    ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
     ("bsd-notice", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("isc-notice", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),

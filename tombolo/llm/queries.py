@@ -7,10 +7,11 @@ maps a name to DuckDB SQL for the same rows where SQL can express them.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tombolo.llm import license_scan, oracle, secret_scan
+from tombolo.llm import license_scan, oracle, packing, secret_scan
 from tombolo.llm.common import table
 
 
@@ -28,11 +29,20 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return license_scan.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op6_license_scan": op6_license_scan}
+QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op6_license_scan": op6_license_scan,
+}
 SQL = {"op1_secret_scan": oracle.op1(), "op6_license_scan": oracle.op6()}
 SQL = {name: sql for name, sql in SQL.items() if sql}
