@@ -65,3 +65,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = {b: chr(b) for b in plain}
+    return out | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in out)}
+
+
+def in_parts(sizes: list[int], most: int) -> list[tuple[int, int]]:
+    """Consecutive ranges of rows whose sizes sum to ``most`` at most, or that are one row."""
+    out, begin, total = [], 0, 0
+    for k, n in enumerate(sizes):
+        if k > begin and total + n > most:
+            out.append((begin, k))
+            begin, total = k, 0
+        total += n
+    return out + [(begin, len(sizes))] if sizes else []

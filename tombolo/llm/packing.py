@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tombolo.llm.common import cut
+from tombolo.llm.common import byte_letters, cut
 
 CAPACITY = 1024
 END_ID = 2
@@ -50,7 +50,7 @@ def encoder(vocabulary: str):
 
     slow = Tokenizer.from_file(vocabulary)
     special = {t.content: i for i, t in slow.get_added_tokens_decoder().items()}
-    byte_of = {c: b for b, c in _byte_letters().items()}
+    byte_of = {c: b for b, c in byte_letters().items()}
     ranks = {bytes(byte_of[c] for c in t): i for t, i in slow.get_vocab(with_added_tokens=False).items() if t not in special}
     quick = tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
@@ -66,13 +66,6 @@ def encoder(vocabulary: str):
     return ids
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letter that a byte-level vocabulary writes for each byte."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    out = {b: chr(b) for b in plain}
-    return out | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in out)}
-
-
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` ids; only the first may be shorter than the capacity."""
     first = n - (-(-n // capacity) - 1) * capacity
@@ -167,10 +160,10 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]
     if len(shapes):
         x = fit(shapes, left.astype(float))
         for k in np.lexsort((np.arange(len(x)), -x)):
-            if x[k] < 0.05:
+            if x[k] < 0.5:
                 break
             lengths = [int(n) for n in shapes[k] if n]
-            n = min(int(np.ceil(x[k])), *(int(left[m]) // lengths.count(m) for m in lengths))
+            n = min(int(x[k] + 0.5), *(int(left[m]) // lengths.count(m) for m in lengths))
             if n > 0:
                 out.append((tuple(lengths), n))
                 for m in lengths:

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tombolo.llm import license_scan, oracle, packing, secret_scan
+from tombolo.llm import bpe, license_scan, oracle, packing, secret_scan
 from tombolo.llm.common import table
 
 
@@ -39,7 +39,13 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True)
+
+
 QUERIES = {
+    "op10_bpe": op10_bpe,
     "op1_secret_scan": op1_secret_scan,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_license_scan": op6_license_scan,
