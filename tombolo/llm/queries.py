@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tombolo.llm import bpe, license_scan, oracle, packing, secret_scan
+from tombolo.llm import bpe, langid, license_scan, oracle, packing, secret_scan, token_counts
 from tombolo.llm.common import table
 
 
@@ -34,21 +34,27 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out().alias("held_out"))
+    names, prototypes = langid.fit(docs.filter(~F.col("held_out")))
+    return langid.predict(docs.drop("lang"), names, prototypes).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return license_scan.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
 
-QUERIES = {
-    "op10_bpe": op10_bpe,
-    "op1_secret_scan": op1_secret_scan,
-    "op3_best_fit_packing": op3_best_fit_packing,
-    "op6_license_scan": op6_license_scan,
-}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_best_fit_packing, op5_language_id, op6_license_scan, op9_token_counts, op10_bpe)}
 SQL = {"op1_secret_scan": oracle.op1(), "op6_license_scan": oracle.op6()}
 SQL = {name: sql for name, sql in SQL.items() if sql}
