@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tombolo.llm import bpe, langid, license_scan, oracle, packing, secret_scan, token_counts
+from tombolo.llm import bpe, langid, license_scan, oracle, packing, secret_scan, token_counts, topk
 from tombolo.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out().alias("held_out"))
     names, prototypes = langid.fit(docs.filter(~F.col("held_out")))
@@ -55,6 +59,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_best_fit_packing, op5_language_id, op6_license_scan, op9_token_counts, op10_bpe)}
-SQL = {"op1_secret_scan": oracle.op1(), "op6_license_scan": oracle.op6()}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_best_fit_packing, op4_exact_top_k, op5_language_id, op6_license_scan, op9_token_counts, op10_bpe)}
+SQL = {"op1_secret_scan": oracle.op1(), "op4_exact_top_k": oracle.op4(), "op6_license_scan": oracle.op6()}
 SQL = {name: sql for name, sql in SQL.items() if sql}
