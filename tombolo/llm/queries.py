@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tombolo.llm import bpe, langid, license_scan, oracle, packing, secret_scan, token_counts, topk
+from tombolo.llm import bpe, langid, license_scan, near_dup, oracle, packing, secret_scan, token_counts, topk
 from tombolo.llm.common import table
 
 
@@ -49,6 +49,13 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op7_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    classes, links = near_dup.near_duplicates(docs)
+    counts = links.select(F.col("a").alias("doc_id")).union(links.select("b")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_links"))
+    return classes.join(counts, "doc_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -59,6 +66,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_best_fit_packing, op4_exact_top_k, op5_language_id, op6_license_scan, op9_token_counts, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_best_fit_packing, op4_exact_top_k, op5_language_id, op6_license_scan, op7_minhash_near_dup, op9_token_counts, op10_bpe)}
 SQL = {"op1_secret_scan": oracle.op1(), "op4_exact_top_k": oracle.op4(), "op6_license_scan": oracle.op6()}
 SQL = {name: sql for name, sql in SQL.items() if sql}
