@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tombolo.llm import bpe, langid, license_scan, near_dup, oracle, packing, secret_scan, token_counts, topk
+from tombolo.llm import bpe, fingerprints, langid, license_scan, near_dup, oracle, packing, secret_scan, token_counts, topk
 from tombolo.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_edits(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -66,6 +70,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_best_fit_packing, op4_exact_top_k, op5_language_id, op6_license_scan, op7_minhash_near_dup, op9_token_counts, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_fingerprints, op3_best_fit_packing, op4_exact_top_k, op5_language_id, op6_license_scan, op7_minhash_near_dup, op9_token_counts, op10_bpe)}
 SQL = {"op1_secret_scan": oracle.op1(), "op4_exact_top_k": oracle.op4(), "op6_license_scan": oracle.op6()}
 SQL = {name: sql for name, sql in SQL.items() if sql}
