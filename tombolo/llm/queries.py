@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tombolo.llm import bpe, fingerprints, langid, license_scan, near_dup, oracle, packing, secret_scan, token_counts, topk
+from tombolo.llm import bpe, fingerprints, langid, license_scan, lm_score, near_dup, oracle, packing, secret_scan, token_counts, topk
 from tombolo.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op7_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.join(counts, "doc_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -70,6 +74,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_fingerprints, op3_best_fit_packing, op4_exact_top_k, op5_language_id, op6_license_scan, op7_minhash_near_dup, op9_token_counts, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_fingerprints, op3_best_fit_packing, op4_exact_top_k, op5_language_id, op6_license_scan, op7_minhash_near_dup, op8_stupid_backoff, op9_token_counts, op10_bpe)}
 SQL = {"op1_secret_scan": oracle.op1(), "op4_exact_top_k": oracle.op4(), "op6_license_scan": oracle.op6()}
 SQL = {name: sql for name, sql in SQL.items() if sql}
