@@ -13,10 +13,13 @@ at least 0.8. The classes are the connected components over links.
 
 * Exact copies are one node, so no copy is compared.
 * Every member of a bucket is compared with the bucket's smallest id.
-* Members that did not get into that one's class are compared with all other
-  members of the bucket from outside their class. That runs in tiles, streams
-  one side, and first compares the signatures, so that few pairs are left to
-  compare by text. Nothing is capped.
+* In a few more rounds the smallest member that is in no such pivot's class
+  yet becomes a pivot too and is compared with all members of other classes.
+* What is left, members of one bucket in different classes, are compared with
+  each other in tiles, by signature first. A link joins two classes, which are
+  not compared any more. Nothing is capped: two members of a bucket end up in
+  one class, or were compared and found to differ, or have signatures that rule
+  the similarity out.
 
 Inverse document frequency runs from 1 to 2, 1 + ln((1 + N) / (1 + df)) / ln(1 + N),
 so that the copies of a very large group, whose common shingles are no longer
@@ -51,6 +54,8 @@ CELLS = 1 << 20
 _CELL_BLOCKS = 64
 PART_CHARS = 1_000_000
 TILE = 256
+#: Rounds of pivots after the first.
+PIVOTS = 3
 _WORD = re.compile(r"\w+")
 _U = np.uint64
 
@@ -274,61 +279,125 @@ def components(edges: DataFrame) -> DataFrame:
         now = both.join(now.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("class").alias("class"))
 
 
-def rest_pairs(shared: DataFrame, classes: DataFrame, sigs: DataFrame, least: float = SIMILAR, tile: int = TILE) -> DataFrame:
-    """(a, b): pairs of different class in a bucket, at least one of which is outside the class of the bucket's
-    smallest id, whose signatures allow the similarity (within 4.5 standard deviations)."""
+def classed(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members of buckets of more than two, with their classes so far."""
     of = classes.select(F.col("id").alias("doc_id"), F.col("class"))
-    lead = classes.select(F.col("id").alias("leader"), F.col("class").alias("lead_class"))
-    rows = shared.join(of, "doc_id", "left").join(lead, "leader", "left").select(
-        "bucket", "leader", "doc_id", "n_members",
-        F.coalesce("class", "doc_id").alias("class"),
-        (F.coalesce("class", "doc_id") != F.coalesce("lead_class", "leader")).alias("out"),
-    )
-    rows = cut(rows.filter("n_members > 2"))
-    some = rows.filter("out").select("bucket").distinct()
-    rows = rows.join(some, "bucket", "left_semi").join(sigs.select("doc_id", "signature", "n"), "doc_id")
+    rows = shared.filter("n_members > 2").join(of, "doc_id", "left")
+    return rows.select("bucket", "leader", "doc_id", "n_members", F.coalesce("class", "doc_id").alias("class"))
+
+
+def pivot_pairs(rows: DataFrame, pivots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One more pivot for each bucket that has members in no pivot's class, the smallest of those, and
+    its pairs with all members of other classes. ``pivots`` has (bucket, pivot, class) so far, with classes of now."""
+    covered = pivots.select("bucket", "class").distinct().withColumn("covered", F.lit(True))
+    new = rows.join(covered, ["bucket", "class"], "left").filter("covered IS NULL").groupBy("bucket").agg(F.min(F.struct("doc_id", "class")).alias("p"))
+    new = cut(new.select("bucket", F.col("p.doc_id").alias("pivot"), F.col("p.class").alias("own")))
+    pairs = rows.join(new, "bucket").filter("class <> own").select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
+    return new.select("bucket", "pivot"), pairs
+
+
+def vectors(texts: DataFrame) -> DataFrame:
+    """(doc_id, hashes, times): the distinct shingles of each text, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            some = batch.column(1).to_pylist()
+            for i, j in in_parts([len(t) for t in some], PART_CHARS):
+                owner, h, times = shingles(some[i:j], hashes)
+                edges = np.searchsorted(owner, np.arange(j - i + 1))
+                of = lambda x, kind: pa.array([x[p:q].astype(kind).tobytes() for p, q in zip(edges, edges[1:], strict=False)], pa.binary())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), of(h, "<u8"), of(times, "<u4")], ["doc_id", "hashes", "times"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, hashes binary, times binary")
+
+
+class Tile:
+    """Some members of a bucket, and the classes that links found here have joined."""
+
+    def __init__(self, held: list[dict], idf: np.ndarray, least: float):
+        self.ids = np.array([r["doc_id"] for r in held])
+        self.n = np.array([r["n"] for r in held])
+        self.out = np.array([r["out"] for r in held])
+        self.signatures = np.frombuffer(b"".join(r["signature"] for r in held), np.uint8).reshape(-1, SAMPLES)
+        self.rows, self.idf, self.least = held, idf, least
+        self.weighted = Weighted(idf)
+        self.roots = np.array([r["class"] for r in held])
+        self.root_of: dict[int, int] = {}
+
+    def _vector(self, row: dict) -> tuple[np.ndarray, np.ndarray]:
+        h = np.frombuffer(row["hashes"], "<u8")
+        return h, np.frombuffer(row["times"], "<u4") * self.idf[_cell(h)].astype(np.float64)
+
+    def links(self, row: dict) -> list[tuple[int, int, float]]:
+        """Links of a document to members of other classes: each joins two classes, so that what they join is not compared again."""
+        root = self.root_of.get(row["class"], row["class"])
+        at = np.flatnonzero((self.roots != root) & (self.ids != row["doc_id"]) & (~self.out | (self.ids > row["doc_id"])))
+        if not len(at):
+            return []
+        agree = (self.signatures[at] == np.frombuffer(row["signature"], np.uint8)).mean(1)
+        edge = self.least - 4.5 * np.sqrt(self.least * (1 - self.least) / np.minimum(SAMPLES, np.minimum(self.n[at], row["n"])))
+        at = at[agree >= edge][np.argsort(-agree[agree >= edge], kind="stable")]
+        own, out = None, []
+        for k in at:
+            if self.roots[k] == root:
+                continue
+            own = own or self._vector(row)
+            s = self.weighted.similarity(own, self._vector(self.rows[k]))
+            if s >= self.least:
+                doc, other = row["doc_id"], int(self.ids[k])
+                out.append((min(doc, other), max(doc, other), s))
+                old = int(self.roots[k])
+                self.roots[self.roots == old] = root
+                self.root_of = {c: root if r == old else r for c, r in self.root_of.items()} | {old: root}
+        return out
+
+
+def rest_links(rows: DataFrame, sigs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float = SIMILAR, tile: int = TILE) -> DataFrame:
+    """(a, b, similarity): links that join classes which meet in a bucket.
+
+    The largest class of a bucket lies in tiles, every member of the others is
+    taken to all tiles of its bucket and to those of the others. Signatures
+    that rule the similarity out (by 4.5 standard deviations) spare a
+    comparison; classes that a link has joined in a tile are compared no more,
+    so a tile returns fewer links than it has members.
+    """
+    sizes = rows.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("rows"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("rows", "class")).alias("m"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("bucket", F.col("m.class").alias("main"))
+    rows = rows.join(largest, "bucket").select("bucket", "doc_id", "n_members", "class", (F.col("class") != F.col("main")).alias("out"))
+    rows = cut(rows)
+    some = texts.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = rows.join(sigs.select("doc_id", "signature", "n"), "doc_id").join(vectors(some), "doc_id")
     tiles = F.ceil(F.col("n_members") / F.lit(tile)).cast("int")
-    fixed = rows.select("bucket", F.pmod(F.xxhash64("doc_id"), tiles).cast("int").alias("tile"), F.lit(0).alias("side"), "doc_id", "class", "leader", "signature", "n", "out")
-    moving = rows.filter("out").select("bucket", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile"), F.lit(1).alias("side"), "doc_id", "class", "leader", "signature", "n", "out")
+    fields = ("doc_id", "class", "out", "n", "signature", "hashes", "times")
+    fixed = rows.select("bucket", F.pmod(F.xxhash64("doc_id"), tiles).cast("int").alias("tile"), F.lit(0).alias("side"), *fields)
+    moving = rows.filter("out").select("bucket", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile"), F.lit(1).alias("side"), *fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held, built = None, [], None
         for batch in batches:
-            cols = {name: batch.column(name) for name in ("bucket", "tile", "side", "doc_id", "class", "leader", "n", "out")}
-            cols = {name: c.to_numpy(zero_copy_only=False) for name, c in cols.items()}
-            sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(-1, SAMPLES)
-            found_a, found_b = [], []
-            for k in range(batch.num_rows):
-                here = (cols["bucket"][k], cols["tile"][k])
+            found = []
+            for r in batch.to_pylist():
+                here = (r["bucket"], r["tile"])
                 if here != current:
                     current, held, built = here, [], None
-                mine = tuple(cols[name][k] for name in ("doc_id", "class", "n", "out")) + (sig[k],)
-                if cols["side"][k] == 0:
-                    held.append(mine)
+                if r["side"] == 0:
+                    held.append(r)
                     continue
-                if built is None:
-                    built = [np.array([h[i] for h in held]) for i in range(4)] + [np.stack([h[4] for h in held])]
-                ids, classes_, n, out, sigs_ = built
-                doc, cls, size, _, own = mine
-                # pairs of two that are outside come up twice; the leader was compared before
-                ok = (classes_ != cls) & (ids != cols["leader"][k]) & (~out | (ids > doc))
-                if ok.any():
-                    at = np.flatnonzero(ok)
-                    agree = (sigs_[at] == own).mean(1)
-                    edge = least - 4.5 * np.sqrt(least * (1 - least) / np.minimum(SAMPLES, np.minimum(n[at], size)))
-                    at = at[agree >= edge]
-                    found_a += np.minimum(ids[at], doc).tolist()
-                    found_b += np.maximum(ids[at], doc).tolist()
-            if found_a:
-                yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
+                if held:
+                    built = built or Tile(held, idf, least)
+                    found += built.links(r)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["a", "b", "similarity"])
 
     dealt = fixed.unionByName(moving)
     width = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(width, "bucket", "tile").sortWithinPartitions("bucket", "tile", "side").mapInArrow(run, "a long, b long").distinct()
+    found = dealt.repartition(width, "bucket", "tile").sortWithinPartitions("bucket", "tile", "side").mapInArrow(run, "a long, b long, similarity double")
+    return found.distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", content: str = "text", least: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """(classes, links): (doc_id, class_id) for every row of ``docs``, and the verified links (a, b, similarity) between different texts."""
+    """(classes, links): (doc_id, class_id) for every row of ``docs``, and verified links (a, b, similarity) between different texts that make up the classes."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(content).alias("text"))
     idf = inverse_frequencies(*document_frequencies(docs))
     sigs = written(signatures(docs, idf), "near-dup-signatures")
@@ -349,10 +418,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", content: str = "tex
     links = cut(verified(pairs, texts, idf, least))
     classes = components(links.select("a", "b"))
 
-    more = cut(rest_pairs(shared, classes, nodes, least))
-    more_links = cut(verified(more, texts, idf, least))
-    if not more_links.isEmpty():
-        links = links.union(more_links)
+    pivots = shared.select("bucket", F.col("leader").alias("pivot")).distinct()
+    for _ in range(PIVOTS):
+        rows = cut(classed(shared, classes))
+        of = classes.withColumnRenamed("id", "pivot")
+        new, pairs = pivot_pairs(rows, pivots.join(of, "pivot", "left").select("bucket", "pivot", F.coalesce("class", "pivot").alias("class")))
+        if new.isEmpty():
+            break
+        more = cut(verified(cut(pairs), texts, idf, least))
+        pivots = pivots.union(new)
+        if not more.isEmpty():
+            links = links.union(more)
+            classes = components(links.select("a", "b"))
+    more = cut(rest_links(cut(classed(shared, classes)), nodes, texts, idf, least))
+    if not more.isEmpty():
+        links = links.union(more)
         classes = components(links.select("a", "b"))
 
     # ids that repeat may tie several groups of copies together
