@@ -66,3 +66,11 @@ def test_lone_empty_repeated_and_null_ids(spark):
     assert r["near_next"] == 1.0
     got = fp.with_edits(spark.createDataFrame([(1, "a b c", ""), (1, "a b c", ""), (None, "x y", ""), (2, "q", "")], SCHEMA)).collect()
     assert sorted((r["doc_id"] or 0, r["n_chars"]) for r in got) == [(0, 3), (1, 5), (1, 5), (2, 1)]
+
+
+def test_ranges_of_ids(spark):
+    frame = spark.createDataFrame([(i * i - 50,) for i in range(400)] + [(None,)], "doc_id long")
+    edges, last = fp.ranges(frame, "doc_id", 23)
+    assert len(last) == len(edges) + 1 and edges == sorted(edges)
+    for r in frame.withColumn("part", fp.range_of("doc_id", edges)).collect():
+        assert r["part"] == (0 if r["doc_id"] is None else sum(e <= r["doc_id"] for e in edges))

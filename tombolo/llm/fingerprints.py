@@ -24,12 +24,15 @@ the next; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tombolo.llm.common import cut
-
 K, WINDOW = 5, 8
+#: Ranges of ids per shuffle partition.
+RANGES = 8
 _BITS = 31
 #: Places and hashes are kept in 31 bits each.
 _MASK = (1 << _BITS) - 1
@@ -91,50 +94,56 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", content: str = "text",
     return docs.select(doc_id, text.alias("text"), words_of(text).alias("_words")).select(doc_id, "text", winnowed("_words", k, window).alias("chosen"))
 
 
-def next_ids(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, next_id): the next smaller id, after the smallest the largest; a null id counts as the smallest.
+def ranges(docs: DataFrame, doc_id: str, parts: int) -> tuple[list[int], list[int | None]]:
+    """(least id of each range but the first, greatest id of each range) of ranges of about equal size.
 
-    Ids alone are sorted, in ranges; each range finds its own, and the first id
-    of the next range that has one comes from a table of one row per range.
+    Ids alone are dealt by range; what reaches the driver is one row per range,
+    a number that follows the partitions and not the rows. A null id counts as
+    the smallest.
     """
-    ids = docs.select(F.col(doc_id).alias("id")).distinct().repartitionByRange(F.desc_nulls_last("id"))
-    ids = cut(ids.withColumn("part", F.spark_partition_id()))
-    order = F.desc_nulls_last("id")
-    own = Window.partitionBy("part").orderBy(order)
-    # ids in a struct, so that a null id can be told from no id
-    boxed = F.struct(F.col("id").alias("id"))
-    lead = ids.withColumn("next", F.lead(boxed).over(own))
-    heads = ids.groupBy("part").agg(F.max(F.struct(F.col("id").isNotNull().alias("some"), F.col("id").alias("id"))).alias("head"))
-    ranges = Window.orderBy("part")  # one row per partition
-    everything = ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = heads.select("part", F.coalesce(F.lead("head").over(ranges), F.first("head").over(everything)).alias("after"))
-    return lead.join(after, "part").select("id", F.when(F.col("next").isNotNull(), F.col("next.id")).otherwise(F.col("after.id")).alias("next_id"))
+    ids = docs.select(F.col(doc_id).alias("id")).repartitionByRange(parts, F.asc_nulls_first("id"))
+    heads = ids.groupBy(F.spark_partition_id().alias("part")).agg(F.min("id").alias("least"), F.max("id").alias("most")).collect()
+    heads = sorted(heads, key=lambda r: r["part"])
+    return [r["least"] for r in heads[1:]], [r["most"] for r in heads] or [None]
+
+
+def range_of(key: str, edges: list[int]) -> Column:
+    """The number of ``edges`` that are ``key`` or less, in two steps: among every n-th edge, then between two of those."""
+    size = max(1, math.isqrt(len(edges)))
+    blocks = [edges[i : i + size] for i in range(0, len(edges), size)]
+    literal = lambda values, kind: f"from_json('{json.dumps(values)}', '{kind}')"
+    at_most = f"size(filter({literal([b[0] for b in blocks], 'array<bigint>')}, e -> e <= `{key}`))"
+    inside = f"size(filter(get({literal(blocks, 'array<array<bigint>>')}, t - 1), e -> e <= `{key}`))"
+    return F.expr(f"transform(array({at_most}), t -> CASE WHEN t = 0 THEN 0 ELSE (t - 1) * {size} + {inside} END)[0]") if edges else F.lit(0)
 
 
 def with_edits(docs: DataFrame, doc_id: str = "doc_id", content: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:
     """Fingerprints of all texts and of their edited texts, and the likenesses.
 
     A document's second half is replaced by as much of the beginning of the next
-    document, or all of it. What travels to a document is that beginning and the
-    next document's hashes.
+    document, or all of it. Documents are dealt once, by ranges of ids, and
+    sorted inside a range; the last documents of a range are dealt to the next
+    one as well, where its first ones find them.
     """
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(content), F.lit("")).alias("text"))
-    order = next_ids(docs)
-    taken = docs.groupBy("doc_id").agg(F.max(F.expr("length(text) div 2")).alias("most"))
-    wanted = order.join(taken, order["id"].eqNullSafe(taken["doc_id"])).select("id", "next_id", "most")
-    one = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
-    given = wanted.join(one, wanted["next_id"].eqNullSafe(one["doc_id"])).select(
-        "id", F.expr("substring(text, 1, CAST(most AS INT))").alias("beginning"), words_of(F.col("text")).alias("_words")
-    )
-    given = given.select("id", "beginning", winnowed("_words", k, window).alias("_chosen")).select("id", "beginning", hashes_of("_chosen").alias("next_hashes"))
-    joined = docs.join(given, docs["doc_id"].eqNullSafe(given["id"]))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(content), F.lit("")).alias("text"))
+    edges, last = ranges(docs, "doc_id", RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ends = F.expr(f"get(from_json('{json.dumps(last)}', 'array<bigint>'), part)")
+    own, guest = F.struct("part", F.lit(0).alias("guest")), F.struct(F.pmod(F.col("part") + 1, F.lit(len(last))).alias("part"), F.lit(1).alias("guest"))
+    placed = docs.withColumn("part", range_of("doc_id", edges)).withColumn("at", F.explode(F.when(ends.eqNullSafe(F.col("doc_id")), F.array(own, guest)).otherwise(F.array(own))))
+    dealt = placed.select("at.part", "at.guest", "doc_id", "text").repartition("part").withColumn("_words", words_of(F.col("text")))
+    marked = dealt.withColumn("f", winnowed("_words", k, window)).drop("_words").withColumn("fh", hashes_of("f"))
+    # guests come first; of texts of one id the smallest is next to the following id
+    order = Window.partitionBy("part").orderBy(F.desc("guest"), F.asc_nulls_first("doc_id"), F.desc("text"))
+    before = F.lag(F.struct("guest", "doc_id", "text", "fh")).over(order)
+    changed = (F.col("before.guest") != F.col("guest")) | ~F.col("before.doc_id").eqNullSafe(F.col("doc_id"))
+    follow = F.last(F.when(changed, F.col("before")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    joined = marked.withColumn("before", before).withColumn("next", follow).filter("guest = 0")
     edited = joined.select(
-        "doc_id", "text", "next_hashes",
-        F.expr("concat(substring(text, 1, CAST(length(text) - length(text) div 2 AS INT)), substring(beginning, 1, CAST(length(text) div 2 AS INT)))").alias("edited"),
+        "doc_id", "text", "f", "fh", F.col("next.fh").alias("next_hashes"),
+        F.expr("concat(substring(text, 1, CAST(length(text) - length(text) div 2 AS INT)), substring(next.text, 1, CAST(length(text) div 2 AS INT)))").alias("edited"),
     )
-    worded = edited.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "next_hashes", words_of(F.col("text")).alias("_w"), words_of(F.col("edited")).alias("_e"))
-    marked = worded.select("doc_id", "n_chars", "edited_sha256", "next_hashes", winnowed("_w", k, window).alias("f"), winnowed("_e", k, window).alias("e"))
-    hashed = marked.select("*", hashes_of("f").alias("fh"), hashes_of("e").alias("eh"))
+    worded = edited.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "f", "fh", "next_hashes", words_of(F.col("edited")).alias("_e"))
+    hashed = worded.withColumn("e", winnowed("_e", k, window)).withColumn("eh", hashes_of("e"))
     return hashed.select(
         "doc_id", "n_chars", "edited_sha256", as_string("f").alias("fingerprint"), as_string("e").alias("edited_fingerprint"),
         likeness("fh", "eh").alias("near_edited"), likeness("fh", "next_hashes").alias("near_next"),
