@@ -64,9 +64,8 @@ def corpus(seed, base=400):
     return out
 
 
-@pytest.mark.parametrize("tile, pivots", [(256, 3), (16, 0)])
-def test_classes_against_brute_force(spark, monkeypatch, tile, pivots):
-    monkeypatch.setattr(nd, "PIVOTS", pivots)
+@pytest.mark.parametrize("tile", [256, 16])
+def test_classes_against_brute_force(spark, monkeypatch, tile):
     monkeypatch.setattr(nd.rest_links, "__defaults__", (nd.SIMILAR, tile))
     texts = corpus(1)
     frame = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], SCHEMA).repartition(3)
@@ -77,6 +76,13 @@ def test_classes_against_brute_force(spark, monkeypatch, tile, pivots):
     assert all(r["similarity"] >= 0.8 and r["a"] < r["b"] for r in links.collect())
 
 
+def test_links_between_classes_merge_them(spark):
+    classes = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8)], "id long, class long")
+    links = spark.createDataFrame([(2, 6), (3, 8), (9, 10)], "a long, b long")
+    got = {r["id"]: r["class"] for r in nd.merged(classes, links).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1, 3: 3, 8: 3, 9: 9, 10: 9}
+
+
 def test_keep_one_keeps_columns_and_clean_documents(spark):
     texts = corpus(2, base=60)
     frame = spark.createDataFrame([(i, t, str(i)) for i, t in enumerate(texts)], SCHEMA)

@@ -50,6 +50,11 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def few(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """At most some partitions per core: for tables of ids, whose many small files cost more than their rows."""
+    return df.coalesce(per_core * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so that a lost executor costs no recomputation of its lineage."""
     sc = df.sparkSession.sparkContext

@@ -13,8 +13,6 @@ at least 0.8. The classes are the connected components over links.
 
 * Exact copies are one node, so no copy is compared.
 * Every member of a bucket is compared with the bucket's smallest id.
-* In a few more rounds the smallest member that is in no such pivot's class
-  yet becomes a pivot too and is compared with all members of other classes.
 * What is left, members of one bucket in different classes, are compared with
   each other in tiles, by signature first. A link joins two classes, which are
   not compared any more. Nothing is capped: two members of a bucket end up in
@@ -45,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tombolo.llm.common import cut, in_parts, salted_left_join, written
+from tombolo.llm.common import cut, few, in_parts, salted_left_join, written
 
 WORDS, SIMILAR = 5, 0.8
 ROWS, BANDS = 6, 32
@@ -54,8 +52,6 @@ CELLS = 1 << 20
 _CELL_BLOCKS = 64
 PART_CHARS = 1_000_000
 TILE = 256
-#: Rounds of pivots after the first.
-PIVOTS = 3
 _WORD = re.compile(r"\w+")
 _U = np.uint64
 
@@ -261,22 +257,32 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float =
 def components(edges: DataFrame) -> DataFrame:
     """(id, class): the smallest id that edges (a, b) connect an id with.
 
-    Each round takes the smallest class among neighbours and then that class's
-    own class; it is written out, so a round never recomputes earlier ones.
+    Each round takes the smallest class among neighbours and then the class
+    which that one had before; it is written out, so a round never recomputes
+    earlier ones.
     """
     both = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).union(edges.select("b", "a"))
-    both = cut(both.union(both.select("id", "id")).distinct())
-    now = both.groupBy("id").agg(F.min("other").alias("class"))
+    both = cut(few(both.union(both.select("id", "id")).distinct()))
+    now = cut(few(both.groupBy("id").agg(F.min("other").alias("class"))))
     total = None
     while True:
-        now = cut(now)
-        jumped = now.join(now.select(F.col("id").alias("class"), F.col("class").alias("next")), "class").select("id", F.col("next").alias("class"))
-        now = cut(jumped)
         new_total = now.agg(F.sum(F.col("class").cast("decimal(38,0)"))).first()[0]
         if new_total == total:  # classes only ever get smaller
             return now
         total = new_total
-        now = both.join(now.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("class").alias("class"))
+        near = both.join(now.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("class").alias("class"))
+        before = now.select(F.col("id").alias("class"), F.col("class").alias("next"))
+        now = cut(few(near.join(before, "class").select("id", F.col("next").alias("class"))))
+
+
+def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes`` after ``links`` (a, b) between members of different classes, which are few against all."""
+    of = lambda name: classes.select(F.col("id").alias(name), F.col("class").alias(f"class_{name}"))
+    between = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b"))
+    new = components(between).select(F.col("id").alias("class"), F.col("class").alias("new"))
+    known = classes.join(new, "class", "left").select("id", F.coalesce("new", "class").alias("class"))
+    # an id that had no link before is its own class
+    return cut(few(known.unionByName(new.select(F.col("class").alias("id"), F.col("new").alias("class"))).distinct()))
 
 
 def classed(shared: DataFrame, classes: DataFrame) -> DataFrame:
@@ -286,16 +292,6 @@ def classed(shared: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.select("bucket", "leader", "doc_id", "n_members", F.coalesce("class", "doc_id").alias("class"))
 
 
-def pivot_pairs(rows: DataFrame, pivots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One more pivot for each bucket that has members in no pivot's class, the smallest of those, and
-    its pairs with all members of other classes. ``pivots`` has (bucket, pivot, class) so far, with classes of now."""
-    covered = pivots.select("bucket", "class").distinct().withColumn("covered", F.lit(True))
-    new = rows.join(covered, ["bucket", "class"], "left").filter("covered IS NULL").groupBy("bucket").agg(F.min(F.struct("doc_id", "class")).alias("p"))
-    new = cut(new.select("bucket", F.col("p.doc_id").alias("pivot"), F.col("p.class").alias("own")))
-    pairs = rows.join(new, "bucket").filter("class <> own").select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
-    return new.select("bucket", "pivot"), pairs
-
-
 def vectors(texts: DataFrame) -> DataFrame:
     """(doc_id, hashes, times): the distinct shingles of each text, as bytes."""
 
@@ -365,7 +361,7 @@ def rest_links(rows: DataFrame, sigs: DataFrame, texts: DataFrame, idf: np.ndarr
     sizes = rows.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("rows"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("rows", "class")).alias("m"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("bucket", F.col("m.class").alias("main"))
     rows = rows.join(largest, "bucket").select("bucket", "doc_id", "n_members", "class", (F.col("class") != F.col("main")).alias("out"))
-    rows = cut(rows)
+    rows = cut(few(rows))
     some = texts.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
     rows = rows.join(sigs.select("doc_id", "signature", "n"), "doc_id").join(vectors(some), "doc_id")
     tiles = F.ceil(F.col("n_members") / F.lit(tile)).cast("int")
@@ -404,36 +400,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", content: str = "tex
     known = sigs.filter(F.col("doc_id").isNotNull())
     # exact copies: few groups have more than one member, and only those are joined back
     copies = known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
-    members = cut(salted_left_join(known.select("doc_id", "key"), copies, "key", F.col("doc_id")).select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).distinct())
+    members = cut(few(salted_left_join(known.select("doc_id", "key"), copies, "key", F.col("doc_id")).select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).distinct()))
     same = members.filter("rep <> doc_id")
     nodes = sigs.join(same.select("doc_id"), "doc_id", "left_anti").filter(F.col("doc_id").isNotNull())
 
     buckets = nodes.select("doc_id", F.explode("buckets").alias("bucket"))
     leaders = buckets.groupBy("bucket").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n_members")).filter("leader < last").drop("last")
-    shared = written(buckets.join(leaders, "bucket").select("bucket", "leader", "doc_id", "n_members"), "near-dup-buckets")
-    pairs = cut(shared.filter("leader < doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct())
+    shared = written(few(buckets.join(leaders, "bucket").select("bucket", "leader", "doc_id", "n_members"), 4), "near-dup-buckets")
+    pairs = cut(few(shared.filter("leader < doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()))
 
     involved = shared.select("doc_id").distinct()
-    texts = written(docs.filter(F.col("doc_id").isNotNull()).join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), "near-dup-texts")
-    links = cut(verified(pairs, texts, idf, least))
+    texts = docs.filter(F.col("doc_id").isNotNull()).join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    texts = written(few(texts, 4), "near-dup-texts")
+    links = cut(few(verified(pairs, texts, idf, least), 4))
     classes = components(links.select("a", "b"))
 
-    pivots = shared.select("bucket", F.col("leader").alias("pivot")).distinct()
-    for _ in range(PIVOTS):
-        rows = cut(classed(shared, classes))
-        of = classes.withColumnRenamed("id", "pivot")
-        new, pairs = pivot_pairs(rows, pivots.join(of, "pivot", "left").select("bucket", "pivot", F.coalesce("class", "pivot").alias("class")))
-        if new.isEmpty():
-            break
-        more = cut(verified(cut(pairs), texts, idf, least))
-        pivots = pivots.union(new)
-        if not more.isEmpty():
-            links = links.union(more)
-            classes = components(links.select("a", "b"))
-    more = cut(rest_links(cut(classed(shared, classes)), nodes, texts, idf, least))
+    more = cut(few(rest_links(few(classed(shared, classes)), nodes, texts, idf, least)))
     if not more.isEmpty():
         links = links.union(more)
-        classes = components(links.select("a", "b"))
+        classes = merged(classes, more)
 
     # ids that repeat may tie several groups of copies together
     ties = members.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).filter("a <> b")
