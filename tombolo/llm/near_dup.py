@@ -51,7 +51,8 @@ SAMPLES = ROWS * BANDS
 CELLS = 1 << 20
 _CELL_BLOCKS = 64
 PART_CHARS = 1_000_000
-TILE = 256
+#: Members of a bucket in a tile, and how many times as many may go past it in one task.
+TILE, LANE = 256, 16
 _WORD = re.compile(r"\w+")
 _U = np.uint64
 
@@ -365,16 +366,19 @@ def rest_links(rows: DataFrame, sigs: DataFrame, texts: DataFrame, idf: np.ndarr
     some = texts.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
     rows = rows.join(sigs.select("doc_id", "signature", "n"), "doc_id").join(vectors(some), "doc_id")
     tiles = F.ceil(F.col("n_members") / F.lit(tile)).cast("int")
+    # what goes past a tile is split too, so that no task gets more rows than a few tiles hold
+    lanes = F.ceil(F.col("n_members") / F.lit(LANE * tile)).cast("int")
     fields = ("doc_id", "class", "out", "n", "signature", "hashes", "times")
-    fixed = rows.select("bucket", F.pmod(F.xxhash64("doc_id"), tiles).cast("int").alias("tile"), F.lit(0).alias("side"), *fields)
-    moving = rows.filter("out").select("bucket", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile"), F.lit(1).alias("side"), *fields)
+    fixed = rows.select("bucket", F.pmod(F.xxhash64("doc_id"), tiles).cast("int").alias("tile"), F.explode(F.sequence(F.lit(0), lanes - 1)).alias("lane"), F.lit(0).alias("side"), *fields)
+    lane = F.pmod(F.xxhash64("doc_id", F.lit(1)), lanes).cast("int").alias("lane")
+    moving = rows.filter("out").select("bucket", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile"), lane, F.lit(1).alias("side"), *fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held, built = None, [], None
         for batch in batches:
             found = []
             for r in batch.to_pylist():
-                here = (r["bucket"], r["tile"])
+                here = (r["bucket"], r["tile"], r["lane"])
                 if here != current:
                     current, held, built = here, [], None
                 if r["side"] == 0:
@@ -388,7 +392,7 @@ def rest_links(rows: DataFrame, sigs: DataFrame, texts: DataFrame, idf: np.ndarr
 
     dealt = fixed.unionByName(moving)
     width = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = dealt.repartition(width, "bucket", "tile").sortWithinPartitions("bucket", "tile", "side").mapInArrow(run, "a long, b long, similarity double")
+    found = dealt.repartition(width, "bucket", "tile", "lane").sortWithinPartitions("bucket", "tile", "lane", "side").mapInArrow(run, "a long, b long, similarity double")
     return found.distinct()
 
 
