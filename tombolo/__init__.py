@@ -1 +1 @@
-"""Mutable keyed datasets as append-only changelogs, on PySpark DataFrames."""
+"""Tombolo: mutable keyed datasets as append-only changelogs, computed by Spark."""
