@@ -22,7 +22,7 @@ TEXTS = [
 def folder(tmp_path_factory):
     where = tmp_path_factory.mktemp("tables")
     rows = [*TEXTS, TEXTS[3], TEXTS[8]]
-    pq.write_table(pa.table({"doc_id": pa.array(range(len(rows)), pa.int64()), "text": pa.array(rows, pa.string()), "start": pa.array(["clash"] * len(rows))}), where / "documents.parquet")
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(rows)), pa.int64()), "text": pa.array(rows, pa.string()), "lang": pa.array(["en"] * len(rows)), "source": pa.array(["s"] * len(rows)), "n_chars": pa.array([0] * len(rows)), "start": pa.array(["clash"] * len(rows))}), where / "documents.parquet")
     vectors = [[((i * 7 + j * 13) % 29 - 14) / 9 for j in range(20)] for i in range(205)] + [None, [None] * 20, [float("nan")] * 20, [float("inf")] + [0.0] * 19, [1.0] * 20, [1.0] * 20]
     pq.write_table(pa.table({"vec_id": pa.array(range(len(vectors)), pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32())), "score": pa.array([0] * len(vectors))}), where / "embeddings.parquet")
     return where
