@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tombolo.llm.common import in_parts, written
 from tombolo.llm.near_dup import _WORD, WordHashes, _mix
 
-ORDER, BACKOFF = 2, 0.4
+ORDER, BACKOFF = 3, 0.4
 #: Words of a chunk, unless a single document has more.
 CHUNK = 1_000_000
 #: Distinct n-grams of chunks that a partition of the count table is meant to get.
@@ -174,15 +174,15 @@ def replies(asked: DataFrame, partitions: int) -> DataFrame:
 def score_chunk(flat: np.ndarray, sizes: np.ndarray, totals: np.ndarray, words: int, order: int = ORDER, backoff: float = BACKOFF) -> np.ndarray:
     """Sum of log scores per document; ``totals`` are those of the chunk's distinct n-grams in order of hash, ``words`` all words of the corpus."""
     hashes = grams(flat, sizes, order)
-    keys, _ = _asked(flat, sizes, order)
+    keys, places = np.unique(np.concatenate(hashes), return_inverse=True)
+    none = int(len(keys) > 0 and keys[0] == 0)  # the place of words without an n-gram comes first and is not asked for
+    places = (places - none).reshape(order, -1)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     rest = (words - sizes)[owner].astype(np.float64)  # words of the other documents
     elsewhere = []  # counts of each word's n-grams in the other documents
-    for h in hashes:
-        at = np.searchsorted(keys, h)
-        at[h == 0] = 0
+    for at in places:
         _, which, own = np.unique(owner * len(keys) + at, return_inverse=True, return_counts=True)
-        elsewhere.append(np.where(h == 0, 0, totals[at] - own[which]) if len(keys) else np.zeros(0))
+        elsewhere.append(np.where(at < 0, 0, totals[at] - own[which]) if len(totals) else np.zeros(0))
     score = np.log(np.maximum(elsewhere[0], 1) / np.maximum(rest, 1))
     context = [np.concatenate([np.zeros(1), e[:-1]])[: len(flat)] for e in elsewhere]
     place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
