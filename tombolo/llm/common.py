@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,3 +90,9 @@ def in_parts(sizes: list[int], most: int) -> list[tuple[int, int]]:
             begin, total = k, 0
         total += n
     return out + [(begin, len(sizes))] if sizes else []
+
+
+def text_parts(column, most: int) -> Iterator[tuple[int, int, list[str]]]:
+    """(first row, end, texts) of an Arrow column of texts, as many at once as hold ``most`` characters; null is empty."""
+    for i, j in in_parts(pc.fill_null(pc.utf8_length(column), 0).to_pylist(), most):
+        yield i, j, [t or "" for t in column.slice(i, j - i).to_pylist()]

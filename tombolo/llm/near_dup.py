@@ -43,14 +43,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tombolo.llm.common import cut, few, in_parts, salted_left_join, written
+from tombolo.llm.common import cut, few, salted_left_join, text_parts, written
 
 WORDS, SIMILAR = 5, 0.8
 ROWS, BANDS = 6, 32
 SAMPLES = ROWS * BANDS
 CELLS = 1 << 20
 _CELL_BLOCKS = 64
-PART_CHARS = 1_000_000
+PART_CHARS = 500_000
 #: Members of a bucket in a tile, and how many times as many may go past it in one task.
 TILE, LANE = 256, 16
 _WORD = re.compile(r"\w+")
@@ -82,7 +82,7 @@ class WordHashes(dict):
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
 
-    def trim(self, most: int = 500_000) -> None:
+    def trim(self, most: int = 150_000) -> None:
         if len(self) > most:
             self.clear()
 
@@ -123,10 +123,9 @@ def document_frequencies(docs: DataFrame, content: str = "text") -> tuple[int, n
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, cells, n = WordHashes(), np.zeros(CELLS, np.int64), 0
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            n += len(texts)
-            for i, j in in_parts([len(t) for t in texts], PART_CHARS):
-                owner, h, _ = shingles(texts[i:j], hashes)
+            n += batch.num_rows
+            for _, _, some in text_parts(batch.column(0), PART_CHARS):
+                owner, h, _ = shingles(some, hashes)
                 cells += np.bincount(np.unique(owner * CELLS + _cell(h)) % CELLS, minlength=CELLS)
         if n:
             blocks = [cells[b * width : (b + 1) * width].tobytes() for b in range(_CELL_BLOCKS)]
@@ -186,9 +185,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, doc_id: str = "doc_id", content
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i, j in in_parts([len(t) for t in texts], PART_CHARS):
-                some = texts[i:j]
+            for i, j, some in text_parts(batch.column(1), PART_CHARS):
                 owner, h, times = shingles(some, hashes)
                 n = np.bincount(owner, minlength=len(some))
                 drawn = samples(owner, h, times * idf[_cell(h)].astype(np.float64), len(some))
@@ -299,9 +296,8 @@ def vectors(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            some = batch.column(1).to_pylist()
-            for i, j in in_parts([len(t) for t in some], PART_CHARS):
-                owner, h, times = shingles(some[i:j], hashes)
+            for i, j, some in text_parts(batch.column(1), PART_CHARS):
+                owner, h, times = shingles(some, hashes)
                 edges = np.searchsorted(owner, np.arange(j - i + 1))
                 of = lambda x, kind: pa.array([x[p:q].astype(kind).tobytes() for p, q in zip(edges, edges[1:], strict=False)], pa.binary())  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), of(h, "<u8"), of(times, "<u4")], ["doc_id", "hashes", "times"])
