@@ -7,7 +7,7 @@ the next shorter one counts, times 0.4 for each step. A word seen nowhere else
 scores as if seen once.
 
 Documents are tokenised into chunks of bounded size, which are written once.
-A chunk asks for the totals of its distinct n-grams, an n-gram by its 64-bit
+A chunk asks for the totals of its distinct n-grams, an n-gram by its 56-bit
 hash: the requests, with the chunk's own counts, are dealt by hash, so that a
 partition holds one part of the count table, and the totals go back to the
 chunks that asked, where they are joined to the n-grams of every document and
@@ -42,27 +42,38 @@ CHUNK = 1_000_000
 SHARE = 3_000_000
 PART_CHARS = 1_000_000
 _U = np.uint64
-_BUCKET_BITS = 8  # the least; hashes travel without their first byte
+#: Bits of an n-gram's hash, and the fewest that tell its bucket.
+HASH_BITS, _BUCKET_BITS = 56, 8
 _CHUNKS = "chunk long, doc_ids array<long>, sizes binary, words binary, places binary, n long"
 
 
 def _packed(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    """Numbers by planes, all lowest bytes first, which are worth more to the compressor than whole numbers."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _unpacked(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
-def _short(h: np.ndarray) -> bytes:
-    """Hashes of one bucket, without the byte that is the same in all."""
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+def _short(h: np.ndarray, base: int) -> bytes:
+    """The sorted hashes of one bucket, which begins at ``base``, as steps of as few bytes as the largest needs; the highest bytes are compressed."""
+    steps = np.diff(h, prepend=_U(base)).astype("<u8")
+    width = max(2, -(-int(steps.max()).bit_length() // 8))
+    planes = steps.view(np.uint8).reshape(-1, 8)
+    top = zstandard.ZstdCompressor(level=1).compress(planes[:, width - 1].tobytes())
+    return bytes([width]) + len(h).to_bytes(4, "little") + planes[:, : width - 1].tobytes() + top
 
 
-def _long(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 7, 8), np.uint8)
-    out[:, :7] = np.frombuffer(b, np.uint8).reshape(-1, 7)
-    return out.view("<u8").reshape(-1)
+def _long(b: bytes, base: int) -> np.ndarray:
+    width, n = b[0], int.from_bytes(b[1:5], "little")
+    low = n * (width - 1)
+    planes = np.zeros((n, 8), np.uint8)
+    planes[:, : width - 1] = np.frombuffer(b, np.uint8, low, 5).reshape(n, width - 1)
+    planes[:, width - 1] = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[5 + low :]), np.uint8)
+    return _U(base) + np.cumsum(planes.view("<u8").reshape(-1), dtype=_U)
 
 
 def chunks(docs: DataFrame, doc_id: str = "doc_id", content: str = "text", size: int = CHUNK) -> DataFrame:
@@ -109,8 +120,8 @@ def grams(flat: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
             else:
                 before = np.concatenate([np.zeros(1, _U), out[-1][:-1]])[: len(flat)]
                 h = _mix(before * _U(0x9E3779B97F4A7C15) + flat + _U(n))
-            out.append(np.where(place >= n - 1, np.maximum(h, _U(1)), _U(0)))
-    return out
+            out.append(np.where(place >= n - 1, h, _U(0)))
+    return [np.where(place >= n, np.maximum(h >> _U(64 - HASH_BITS), _U(1)), _U(0)) for n, h in enumerate(out)]
 
 
 def _opened(words: bytes, places: bytes, sizes: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -131,26 +142,26 @@ def requests(chunked: DataFrame, bits: int, order: int) -> DataFrame:
             for row in range(batch.num_rows):
                 get = lambda name: batch.column(name)[row].as_py()  # noqa: B023, E731
                 keys, counts = _asked(*_opened(get("words"), get("places"), get("sizes")), order)
-                bucket = (keys >> _U(64 - bits)).astype(np.int64)
+                bucket = (keys >> _U(HASH_BITS - bits)).astype(np.int64)
                 edges = np.flatnonzero(np.diff(bucket)) + 1
                 parts = [(a, b) for a, b in zip([0, *edges], [*edges, len(keys)], strict=True) if a < b]
                 if parts:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([bucket[a] for a, _ in parts], pa.int64()), pa.array([get("chunk")] * len(parts), pa.int64()), pa.array([_short(keys[a:b]) for a, b in parts], pa.binary()), pa.array([_packed(counts[a:b].astype("<u4")) for a, b in parts], pa.binary())],
+                        [pa.array([bucket[a] for a, _ in parts], pa.int64()), pa.array([get("chunk")] * len(parts), pa.int64()), pa.array([_short(keys[a:b], int(bucket[a]) << (HASH_BITS - bits)) for a, b in parts], pa.binary()), pa.array([_packed(counts[a:b].astype("<u4")) for a, b in parts], pa.binary())],
                         ["bucket", "chunk", "hashes", "counts"],
                     )
 
     return chunked.select("chunk", "sizes", "words", "places").mapInArrow(run, "bucket long, chunk long, hashes binary, counts binary")
 
 
-def replies(asked: DataFrame, partitions: int) -> DataFrame:
+def replies(asked: DataFrame, partitions: int, bits: int) -> DataFrame:
     """(chunk, bucket, totals): the totals of each request's n-grams in the request's order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
 
         def answered() -> pa.RecordBatch:
-            keys = [_long(h) for _, h, _ in held]
+            keys = [_long(h, current << (HASH_BITS - bits)) for _, h, _ in held]
             _, which = np.unique(np.concatenate(keys), return_inverse=True)
             totals = np.bincount(which, np.concatenate([_unpacked(c, "<u4") for _, _, c in held]))[which]
             ends = np.cumsum([len(k) for k in keys])
@@ -203,7 +214,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", content: str = "text", order
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     partitions = max(width, -(-words * order // SHARE))
     bits = max(_BUCKET_BITS, (4 * partitions - 1).bit_length())
-    answers = replies(requests(chunked, bits, order), partitions)
+    answers = replies(requests(chunked, bits, order), partitions, bits)
     both = chunked.select("chunk", F.lit(-1).cast("long").alias("bucket"), "doc_ids", "sizes", "words", "places", F.lit(None).cast("binary").alias("totals")).unionByName(answers, allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
