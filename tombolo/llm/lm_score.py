@@ -50,7 +50,7 @@ _CHUNKS = "chunk long, doc_ids array<long>, sizes binary, words binary, places b
 def _packed(x: np.ndarray) -> bytes:
     """Numbers by planes, all lowest bytes first, which are worth more to the compressor than whole numbers."""
     planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def _unpacked(b: bytes, kind) -> np.ndarray:
@@ -63,7 +63,7 @@ def _short(h: np.ndarray, base: int) -> bytes:
     steps = np.diff(h, prepend=_U(base)).astype("<u8")
     width = max(2, -(-int(steps.max()).bit_length() // 8))
     planes = steps.view(np.uint8).reshape(-1, 8)
-    top = zstandard.ZstdCompressor(level=1).compress(planes[:, width - 1].tobytes())
+    top = zstandard.ZstdCompressor(level=3).compress(planes[:, width - 1].tobytes())
     return bytes([width]) + len(h).to_bytes(4, "little") + planes[:, : width - 1].tobytes() + top
 
 
@@ -84,7 +84,9 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", content: str = "text", size:
         ids, own, total = [], [], 0
 
         def flushed() -> pa.RecordBatch:
-            words, places = np.unique(np.concatenate(own), return_inverse=True)
+            words, places, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+            often = np.argsort(-times, kind="stable")  # frequent words get small numbers, which compress well
+            words, places = words[often], np.argsort(often)[places]
             sizes = np.array([len(w) for w in own], "<u4")
             return pa.RecordBatch.from_arrays(
                 [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([_packed(sizes)], pa.binary()), pa.array([words.astype("<u8").tobytes()], pa.binary()), pa.array([_packed(places.astype("<u4"))], pa.binary()), pa.array([total], pa.int64())],
