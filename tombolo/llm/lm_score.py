@@ -37,7 +37,7 @@ from tombolo.llm.near_dup import _WORD, WordHashes, _mix
 
 ORDER, BACKOFF = 3, 0.4
 #: Words of a chunk, unless a single document has more.
-CHUNK = 1_000_000
+CHUNK = 1_250_000
 #: Distinct n-grams of chunks that a partition of the count table is meant to get.
 SHARE = 3_000_000
 PART_CHARS = 1_000_000
@@ -157,7 +157,7 @@ def requests(chunked: DataFrame, bits: int, order: int) -> DataFrame:
 
 
 def replies(asked: DataFrame, partitions: int, bits: int) -> DataFrame:
-    """(chunk, bucket, totals): the totals of each request's n-grams in the request's order."""
+    """(chunk, bucket, totals): the counts of each request's n-grams in all other chunks, in the request's order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
@@ -165,9 +165,10 @@ def replies(asked: DataFrame, partitions: int, bits: int) -> DataFrame:
         def answered() -> pa.RecordBatch:
             keys = [_long(h, current << (HASH_BITS - bits)) for _, h, _ in held]
             _, which = np.unique(np.concatenate(keys), return_inverse=True)
-            totals = np.bincount(which, np.concatenate([_unpacked(c, "<u4") for _, _, c in held]))[which]
+            own = np.concatenate([_unpacked(c, "<u4") for _, _, c in held])
+            others = np.bincount(which, own)[which] - own  # mostly 0, and a chunk knows its own counts
             ends = np.cumsum([len(k) for k in keys])
-            blobs = [_packed(totals[e - len(k) : e].astype("<u8")) for e, k in zip(ends, keys, strict=True)]
+            blobs = [_packed(others[e - len(k) : e].astype("<u8")) for e, k in zip(ends, keys, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in held], pa.int64()), pa.array([current] * len(held), pa.int64()), pa.array(blobs, pa.binary())], ["chunk", "bucket", "totals"])
 
         for batch in batches:
@@ -184,12 +185,12 @@ def replies(asked: DataFrame, partitions: int, bits: int) -> DataFrame:
     return asked.repartition(partitions, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(run, "chunk long, bucket long, totals binary")
 
 
-def score_chunk(flat: np.ndarray, sizes: np.ndarray, totals: np.ndarray, words: int, order: int = ORDER, backoff: float = BACKOFF) -> np.ndarray:
-    """Sum of log scores per document; ``totals`` are those of the chunk's distinct n-grams in order of hash, ``words`` all words of the corpus."""
+def score_chunk(flat: np.ndarray, sizes: np.ndarray, others: np.ndarray, words: int, order: int = ORDER, backoff: float = BACKOFF) -> np.ndarray:
+    """Sum of log scores per document; ``others`` are the counts in other chunks of this one's distinct n-grams, in order of hash, ``words`` all words of the corpus."""
     hashes = grams(flat, sizes, order)
-    keys, places = np.unique(np.concatenate(hashes), return_inverse=True)
+    keys, places, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
     none = int(len(keys) > 0 and keys[0] == 0)  # the place of words without an n-gram comes first and is not asked for
-    places = (places - none).reshape(order, -1)
+    places, totals = (places - none).reshape(order, -1), others + times[none:]
     owner = np.repeat(np.arange(len(sizes)), sizes)
     rest = (words - sizes)[owner].astype(np.float64)  # words of the other documents
     elsewhere = []  # counts of each word's n-grams in the other documents
