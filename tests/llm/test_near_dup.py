@@ -99,3 +99,39 @@ def test_empty_table_null_and_repeated_ids(spark):
     assert sorted((r["doc_id"] or -1, r["class_id"]) for r in classes.collect()) == [(-1, None), (5, 5), (5, 5), (7, 5), (9, 5)]
     kept = nd.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(r["doc_id"] or -1 for r in kept) == [-1, 5, 5]
+
+
+def planted(seed, make, pairs=40):
+    """Texts in pairs ``make(rng, words)`` and what brute force says of them."""
+    rng = random.Random(seed)
+    texts = [" ".join(t) for _ in range(pairs) for t in make(lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)])]
+    return texts, brute(texts)
+
+
+def classes_of(spark, texts):
+    classes, _ = nd.near_duplicates(spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], SCHEMA))
+    got = {r["doc_id"]: r["class_id"] for r in classes.collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_pairs_whose_weight_lies_in_repeated_lines(spark):
+    def make(words):
+        line = words(8) * 25
+        return line + words(10), line + words(10)
+
+    texts, expected = planted(3, make)
+    assert expected == [i - i % 2 for i in range(len(texts))]
+    assert classes_of(spark, texts) == expected
+
+
+def test_members_of_a_tile_against_pairwise_similarity():
+    rng, idf = random.Random(5), np.random.default_rng(5).uniform(1, 2, nd.CELLS).astype(np.float32)
+    hot = [f"w{i}" for i in range(30)]
+    texts = [" ".join(edited(rng, hot * rng.randint(1, 3), rng.randint(0, 6))) for _ in range(40)] + ["one two"]
+    weighted = nd.Weighted(idf)
+    own = [nd.shingles([t], weighted.hashes)[1:] for t in texts]
+    rows = [{"doc_id": i, "class": i, "out": True, "hashes": h.tobytes(), "times": t.astype("<u4").tobytes()} for i, (h, t) in enumerate(own)]
+    tile = nd.Tile(rows, idf, 0.8)
+    for i, t in enumerate(texts):
+        expected = [weighted.similarity(weighted.vector(i, t), weighted.vector(j, u)) for j, u in enumerate(texts)]
+        np.testing.assert_allclose(tile.similarities(*tile._vector(rows[i])), expected, rtol=1e-12)

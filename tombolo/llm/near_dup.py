@@ -3,10 +3,14 @@
 A document's features are its five-word shingles, weighted by term frequency
 times inverse document frequency. Document frequencies are counted over all
 documents in 2**20 hashed cells, a table of fixed size. Improved consistent
-weighted sampling draws one sample from each of 192 parts of the feature space,
-so a document costs one pass over its shingles; parts without a shingle borrow
-their right neighbour's sample. Six samples make a band, 32 bands make the
-buckets: texts of similarity 0.8 miss each other with probability 6e-5.
+weighted sampling draws each of 192 samples over all shingles of a document. A
+shingle that stands there m times is m copies, and a copy weighs the same in
+every text: what the method draws for it is then one exponential number with
+the copy's weight as its rate, so that two texts have the same sample with a
+probability that is their weighted Jaccard similarity, and samples are
+independent of each other, for texts of any length and for repeated lines. Six
+samples make a band, 32 bands make the buckets: texts of similarity 0.8 miss
+each other with probability (1 - 0.8**6)**32 = 6e-5.
 
 Links are pairs whose weighted Jaccard similarity, computed from the texts, is
 at least 0.8. The classes are the connected components over links.
@@ -14,10 +18,9 @@ at least 0.8. The classes are the connected components over links.
 * Exact copies are one node, so no copy is compared.
 * Every member of a bucket is compared with the bucket's smallest id.
 * What is left, members of one bucket in different classes, are compared with
-  each other in tiles, by signature first. A link joins two classes, which are
-  not compared any more. Nothing is capped: two members of a bucket end up in
-  one class, or were compared and found to differ, or have signatures that rule
-  the similarity out.
+  each other in tiles. A link joins two classes, which are not compared any
+  more. Nothing is capped: two members of a bucket end up in one class, or were
+  compared and found to differ.
 
 Inverse document frequency runs from 1 to 2, 1 + ln((1 + N) / (1 + df)) / ln(1 + N),
 so that the copies of a very large group, whose common shingles are no longer
@@ -51,6 +54,8 @@ SAMPLES = ROWS * BANDS
 CELLS = 1 << 20
 _CELL_BLOCKS = 64
 PART_CHARS = 500_000
+#: Copies of shingles whose points are drawn at once.
+COPY_BLOCK = 1 << 17
 #: Members of a bucket in a tile, and how many times as many may go past it in one task.
 TILE, LANE = 256, 16
 _WORD = re.compile(r"\w+")
@@ -68,13 +73,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _uniform(h: np.ndarray, n: int) -> np.ndarray:
-    """The ``n``-th random number in (0, 1) of each hash."""
-    with np.errstate(over="ignore"):
-        x = _mix(h + _U((0x9E3779B97F4A7C15 * (n + 1)) % (1 << 64)))
-    return ((x >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
-
-
 class WordHashes(dict):
     """Hash of a word, made when first asked for; kept within bounds by ``trim``."""
 
@@ -153,34 +151,57 @@ def inverse_frequencies(n: int, frequencies: np.ndarray) -> np.ndarray:
     return (1 + np.log((1 + n) / (1 + np.minimum(frequencies, n))) / max(np.log(1 + n), 1e-9)).astype(np.float32)
 
 
-def samples(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    """A row of ``SAMPLES`` consistent weighted samples for each of ``n`` documents; rows of zeros where there is no shingle."""
-    r = -np.log(_uniform(h, 0) * _uniform(h, 1))
-    c = -np.log(_uniform(h, 2) * _uniform(h, 3))
-    beta = _uniform(h, 4)
-    t = np.floor(np.log(weight) / r + beta)
-    a = c * np.exp(-r * (t - beta + 1))
-    part = owner * SAMPLES + (h % _U(SAMPLES)).astype(np.int64)
-    order = np.argsort((part << 31) | (a.astype(np.float32).view(np.int32).astype(np.int64) & 0x7FFFFFFF))
-    part = part[order]
-    first = np.ones(len(part), bool)
-    first[1:] = part[1:] != part[:-1]
-    chosen = order[first]
-    with np.errstate(over="ignore"):
-        drawn = _mix(h[chosen] + t[chosen].astype(np.int64).view(_U) * _U(0xD6E8FEB86659FD93)) | _U(1)
-    out = np.zeros(n * SAMPLES, _U)
-    out[part[first]] = drawn
-    out = out.reshape(n, SAMPLES)
-    # parts without a sample take that of the next part that has one, around the end
-    twice = np.concatenate([out, out], 1)
-    at = np.where(twice != 0, np.arange(2 * SAMPLES)[None], 4 * SAMPLES)
-    at = np.minimum.accumulate(at[:, ::-1], 1)[:, ::-1][:, :SAMPLES]
-    filled = np.take_along_axis(twice, np.minimum(at, 2 * SAMPLES - 1), 1)
-    return np.where(at < 4 * SAMPLES, filled, 0)
+def samples(owner: np.ndarray, h: np.ndarray, times: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
+    """A row of ``SAMPLES`` consistent weighted samples for each of ``n`` documents; rows of zeros where there is no shingle.
+
+    A shingle that stands in a text several times is as many copies of weight
+    ``idf``. Each copy has a Poisson process of that rate for each sample, the
+    same in every text, and a sample is the copy whose process comes first. All
+    samples of a copy are one process whose points are dealt to the samples at
+    random; it is followed until it has passed the slowest sample of its text.
+    """
+    first, chosen = np.full(n * SAMPLES, np.inf), np.zeros(n * SAMPLES, _U)
+    sizes = np.bincount(owner, times, n).astype(np.int64)
+    ends = np.cumsum(times)
+    for begin in range(0, int(ends[-1]) if len(ends) else 0, COPY_BLOCK):
+        copy = np.arange(begin, min(begin + COPY_BLOCK, int(ends[-1])))
+        of = np.searchsorted(ends, copy, "right")
+        with np.errstate(over="ignore"):
+            key = _mix(h[of] + (copy - (ends - times)[of]).astype(_U) * _U(0xD6E8FEB86659FD93))
+        text, rate = owner[of], idf[of].astype(np.float64) * SAMPLES
+        at, drawn = np.zeros(len(copy)), np.zeros(len(copy), np.int64)
+        # long texts need few points of each copy, short ones many
+        more = np.maximum(1, 5 * SAMPLES // sizes[text])
+        going = np.arange(len(copy))
+        while len(going):
+            for part in np.split(going, np.searchsorted(np.cumsum(more[going]), np.arange(COPY_BLOCK, int(more[going].sum()), COPY_BLOCK))):
+                if not len(part):
+                    continue
+                m = more[part]
+                stop = np.cumsum(m)
+                start = stop - m
+                point = np.repeat(np.arange(len(part)), m)
+                with np.errstate(over="ignore"):
+                    number = (drawn[part] - start)[point] + np.arange(len(point))
+                    x = _mix(key[part][point] + (number + 1).astype(_U) * _U(0x9E3779B97F4A7C15))
+                gap = -np.log(((x >> _U(20)).astype(np.float64) + 0.5) * 2.0**-44) / rate[part][point]
+                total = np.cumsum(gap)
+                when = total + (at[part] - (total[start] - gap[start]))[point]
+                sample = text[part][point] * SAMPLES + (((x & _U(0xFFFFF)) * _U(SAMPLES)) >> _U(20)).astype(np.int64)
+                soon = np.flatnonzero(when < first[sample])
+                sample, when_soon = sample[soon], when[soon]
+                np.minimum.at(first, sample, when_soon)
+                won = when_soon == first[sample]
+                chosen[sample[won]] = key[part][point[soon[won]]] | _U(1)
+                at[part], drawn[part] = when[stop - 1], drawn[part] + m
+            slowest = first.reshape(n, SAMPLES).max(1)
+            going = going[at[going] < slowest[text[going]]]
+            more = np.maximum(1, more // 2)
+    return chosen.reshape(n, SAMPLES)
 
 
 def signatures(docs: DataFrame, idf: np.ndarray, doc_id: str = "doc_id", content: str = "text") -> DataFrame:
-    """(doc_id, key, buckets, signature, n): the text's hash, its buckets in all bands, a byte of each sample, its distinct shingles."""
+    """(doc_id, key, buckets): the text's hash and its buckets in all bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -188,8 +209,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, doc_id: str = "doc_id", content
             for i, j, some in text_parts(batch.column(1), PART_CHARS):
                 owner, h, times = shingles(some, hashes)
                 n = np.bincount(owner, minlength=len(some))
-                drawn = samples(owner, h, times * idf[_cell(h)].astype(np.float64), len(some))
-                # a band takes samples that lie apart, as neighbours may have borrowed from each other
+                drawn = samples(owner, h, times, idf[_cell(h)], len(some))
                 bands = drawn.reshape(len(some), ROWS, BANDS)
                 with np.errstate(over="ignore"):
                     key = np.arange(1, BANDS + 1, dtype=_U)[None].repeat(len(some), 0)
@@ -201,13 +221,11 @@ def signatures(docs: DataFrame, idf: np.ndarray, doc_id: str = "doc_id", content
                         batch.column(0).slice(i, j - i),
                         pa.array([xxhash.xxh128_digest(t) for t in some], pa.binary()),
                         pa.array(buckets, pa.list_(pa.int64())),
-                        pa.array([s.tobytes() for s in (drawn >> _U(20)).astype(np.uint8)], pa.binary()),
-                        pa.array(n, pa.int32()),
                     ],
-                    ["doc_id", "key", "buckets", "signature", "n"],
+                    ["doc_id", "key", "buckets"],
                 )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(content).alias("text")).mapInArrow(run, "doc_id long, key binary, buckets array<long>, signature binary, n int")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(content).alias("text")).mapInArrow(run, "doc_id long, key binary, buckets array<long>")
 
 
 class Weighted:
@@ -310,61 +328,73 @@ class Tile:
 
     def __init__(self, held: list[dict], idf: np.ndarray, least: float):
         self.ids = np.array([r["doc_id"] for r in held])
-        self.n = np.array([r["n"] for r in held])
         self.out = np.array([r["out"] for r in held])
-        self.signatures = np.frombuffer(b"".join(r["signature"] for r in held), np.uint8).reshape(-1, SAMPLES)
-        self.rows, self.idf, self.least = held, idf, least
-        self.weighted = Weighted(idf)
         self.roots = np.array([r["class"] for r in held])
+        self.idf, self.least = idf, least
         self.root_of: dict[int, int] = {}
+        own = [self._vector(r) for r in held]
+        self.totals = np.array([w.sum() for _, w in own])
+        # who holds a shingle, and with what weight: one list by shingles
+        h = np.concatenate([x for x, _ in own])
+        order = np.argsort(h, kind="stable")
+        self.member = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x, _ in own])[order]
+        self.weight = np.concatenate([w for _, w in own])[order]
+        self.hashes, self.begin = np.unique(h[order], return_index=True)
+        self.begin = np.append(self.begin, len(h))
 
     def _vector(self, row: dict) -> tuple[np.ndarray, np.ndarray]:
         h = np.frombuffer(row["hashes"], "<u8")
         return h, np.frombuffer(row["times"], "<u4") * self.idf[_cell(h)].astype(np.float64)
 
+    def similarities(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Exact similarity of a document to every member."""
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        hit = np.flatnonzero(self.hashes[at] == h)
+        begin = self.begin[at[hit]]
+        m = self.begin[at[hit] + 1] - begin
+        place = np.repeat(begin - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        both = np.bincount(self.member[place], np.minimum(self.weight[place], np.repeat(w[hit], m)), len(self.ids))
+        return both / (w.sum() + self.totals - both)
+
     def links(self, row: dict) -> list[tuple[int, int, float]]:
         """Links of a document to members of other classes: each joins two classes, so that what they join is not compared again."""
         root = self.root_of.get(row["class"], row["class"])
-        at = np.flatnonzero((self.roots != root) & (self.ids != row["doc_id"]) & (~self.out | (self.ids > row["doc_id"])))
-        if not len(at):
+        may = (self.roots != root) & (self.ids != row["doc_id"]) & (~self.out | (self.ids > row["doc_id"]))
+        if not may.any():
             return []
-        agree = (self.signatures[at] == np.frombuffer(row["signature"], np.uint8)).mean(1)
-        edge = self.least - 4.5 * np.sqrt(self.least * (1 - self.least) / np.minimum(SAMPLES, np.minimum(self.n[at], row["n"])))
-        at = at[agree >= edge][np.argsort(-agree[agree >= edge], kind="stable")]
-        own, out = None, []
-        for k in at:
+        s = self.similarities(*self._vector(row))
+        at = np.flatnonzero(may & (s >= self.least))
+        out = []
+        for k in at[np.argsort(-s[at], kind="stable")]:
             if self.roots[k] == root:
                 continue
-            own = own or self._vector(row)
-            s = self.weighted.similarity(own, self._vector(self.rows[k]))
-            if s >= self.least:
-                doc, other = row["doc_id"], int(self.ids[k])
-                out.append((min(doc, other), max(doc, other), s))
-                old = int(self.roots[k])
-                self.roots[self.roots == old] = root
-                self.root_of = {c: root if r == old else r for c, r in self.root_of.items()} | {old: root}
+            doc, other = row["doc_id"], int(self.ids[k])
+            out.append((min(doc, other), max(doc, other), float(s[k])))
+            old = int(self.roots[k])
+            self.roots[self.roots == old] = root
+            self.root_of = {c: root if r == old else r for c, r in self.root_of.items()} | {old: root}
         return out
 
 
-def rest_links(rows: DataFrame, sigs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float = SIMILAR, tile: int = TILE) -> DataFrame:
+def rest_links(rows: DataFrame, texts: DataFrame, idf: np.ndarray, least: float = SIMILAR, tile: int = TILE) -> DataFrame:
     """(a, b, similarity): links that join classes which meet in a bucket.
 
     The largest class of a bucket lies in tiles, every member of the others is
-    taken to all tiles of its bucket and to those of the others. Signatures
-    that rule the similarity out (by 4.5 standard deviations) spare a
-    comparison; classes that a link has joined in a tile are compared no more,
-    so a tile returns fewer links than it has members.
+    taken to all tiles of its bucket and to those of the others. Similarities
+    to all members of a tile are computed exactly, over the shingles they
+    share; classes that a link has joined in a tile are compared no more, so a
+    tile returns fewer links than it has members.
     """
     sizes = rows.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("rows"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("rows", "class")).alias("m"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("bucket", F.col("m.class").alias("main"))
     rows = rows.join(largest, "bucket").select("bucket", "doc_id", "n_members", "class", (F.col("class") != F.col("main")).alias("out"))
     rows = cut(few(rows))
     some = texts.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
-    rows = rows.join(sigs.select("doc_id", "signature", "n"), "doc_id").join(vectors(some), "doc_id")
+    rows = rows.join(vectors(some), "doc_id")
     tiles = F.ceil(F.col("n_members") / F.lit(tile)).cast("int")
     # what goes past a tile is split too, so that no task gets more rows than a few tiles hold
     lanes = F.ceil(F.col("n_members") / F.lit(LANE * tile)).cast("int")
-    fields = ("doc_id", "class", "out", "n", "signature", "hashes", "times")
+    fields = ("doc_id", "class", "out", "hashes", "times")
     fixed = rows.select("bucket", F.pmod(F.xxhash64("doc_id"), tiles).cast("int").alias("tile"), F.explode(F.sequence(F.lit(0), lanes - 1)).alias("lane"), F.lit(0).alias("side"), *fields)
     lane = F.pmod(F.xxhash64("doc_id", F.lit(1)), lanes).cast("int").alias("lane")
     moving = rows.filter("out").select("bucket", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile"), lane, F.lit(1).alias("side"), *fields)
@@ -415,7 +445,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", content: str = "tex
     links = cut(few(verified(pairs, texts, idf, least), 4))
     classes = components(links.select("a", "b"))
 
-    more = cut(few(rest_links(few(classed(shared, classes)), nodes, texts, idf, least)))
+    more = cut(few(rest_links(few(classed(shared, classes)), texts, idf, least)))
     if not more.isEmpty():
         links = links.union(more)
         classes = merged(classes, more)
