@@ -135,3 +135,32 @@ def test_members_of_a_tile_against_pairwise_similarity():
     for i, t in enumerate(texts):
         expected = [weighted.similarity(weighted.vector(i, t), weighted.vector(j, u)) for j, u in enumerate(texts)]
         np.testing.assert_allclose(tile.similarities(*tile._vector(rows[i])), expected, rtol=1e-12)
+
+
+def test_short_texts_that_differ_by_a_word(spark):
+    def make(words):
+        text = words(10)
+        return text, text + words(1)
+
+    texts, expected = planted(4, make, 60)
+    assert expected == [i - i % 2 for i in range(len(texts))]
+    assert classes_of(spark, texts) == expected
+
+
+@pytest.mark.parametrize("size, more", [(1, 0), (10, 1), (52, 3), (600, 40)])
+def test_samples_agree_as_often_as_texts_are_similar(size, more):
+    rng = random.Random(size)
+    weighted = nd.Weighted(np.ones(nd.CELLS, np.float32))
+    agree, similar = [], []
+    for k in range(60):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        pair = [" ".join(text), " ".join(text + [f"x{rng.randrange(10**6)}" for _ in range(more)])]
+        owner, h, times = nd.shingles(pair, weighted.hashes)
+        a, b = nd.samples(owner, h, times, np.ones(len(h), np.float32), 2)
+        assert len({*a}) > 1 or size < 6
+        agree.append((a == b).mean())
+        similar.append(weighted.similarity(weighted.vector(2 * k, pair[0]), weighted.vector(2 * k + 1, pair[1])))
+    p = np.mean(similar)
+    # mean and spread are those of independent samples
+    assert abs(np.mean(agree) - p) < 5 * np.sqrt(p * (1 - p) / nd.SAMPLES / 60) + 1e-9
+    assert np.std(agree) < 1.5 * np.sqrt(p * (1 - p) / nd.SAMPLES) + 1e-9
