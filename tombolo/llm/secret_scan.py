@@ -50,11 +50,13 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # to the next END line, or over header lines and the block of base64 where there is none
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----|(?:[ \t\r\n]*[A-Za-z-]+:[^\n]*\n){0,9}[ \t\r\n\\]*[A-Za-z0-9+/=]{16,}[A-Za-z0-9+/= \t\r\n\\]*|)", version=2),
     Rule("forge_token", r"gh[oprsu]_[A-Za-z0-9]{20,}"),
     Rule("chat_token", r"xox[abeprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,200}:[^\s/:@]{3,200}@"),
+    # a longer scheme is matched by its end
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:[^\s/:@]{3,}@", version=2),
 )
 RULES = BASE_RULES + MORE_RULES
 
