@@ -14,17 +14,19 @@ from pyspark.sql import functions as F
 from tombolo.llm import langid, near_dup, packing, secret_scan
 from tombolo.llm.common import table, written
 
-#: Texts of this many letters or more that are no nearer to a learned language
-#: than this are in none of them; a shorter text says too little to be rejected.
-FOREIGN_LETTERS, FOREIGN_SCORE = 100, 0.05
+#: Texts whose distinct words have so many letters, and are no nearer to a learned
+#: language than this, are in none of them; a text of fewer letters says too little
+#: to be rejected, and so does a word that is repeated.
+FOREIGN = ((100, 0.08), (200, 0.2))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go, and long ones that resemble no learned language."""
     names, prototypes = langid.fit(docs.filter(~langid.held_out()))
-    judged = langid.predict(docs, names, prototypes)
-    letters = F.length(F.regexp_replace("text", r"\P{L}+", ""))
-    foreign = (F.col("score") < FOREIGN_SCORE) & (letters >= FOREIGN_LETTERS) if names else F.lit(False)
+    judged = langid.predict(docs, names, prototypes, distinct=True)
+    foreign = F.lit(False)
+    for least, score in FOREIGN if names else ():
+        foreign |= (F.col("letters") >= least) & (F.col("score") < score)
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rejected = foreign | ((F.col("lang_pred") == langid.UND) & ~(has_letter & F.lit(not names)))
     return judged.filter(~rejected).select(*docs.columns)

@@ -100,3 +100,20 @@ def test_pipeline_stages_keep_and_change_what_they_should(spark):
     assert (clean[1]["text"], clean[1]["n_chars"]) == ("x [SECRET] y", 12) and clean[2]["text"] == "clean" and clean[3]["text"] is None
     packed = {r["doc_id"] for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()}
     assert packed and packed <= kept
+
+
+def test_foreign_and_random_texts_go_and_clean_ones_stay(spark):
+    rng = random.Random(7)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(200)) for _ in range(20)]
+    foreign = [
+        "La lingua italiana è parlata da molte persone in tutto il mondo e la sua storia comincia nel medioevo con i grandi poeti della Toscana. Oggi si insegna nelle scuole, nelle università e nelle accademie di tanti paesi vicini e lontani; chi la studia legge volentieri romanzi, canzoni, ricette e giornali.",
+        "Język polski jest językiem słowiańskim, którym mówi około czterdzieści milionów ludzi. Wielu z nich mieszka poza granicami kraju, a ich dzieci uczą się go w szkole albo w domu. Pisarze tworzą w nim powieści, wiersze oraz sztuki, które tłumaczy się potem na inne języki świata.",
+        "Türkçe, dünyanın birçok ülkesinde konuşulan bir dildir ve uzun bir geçmişi vardır. Bugün okullarda öğretilir, kitaplar yazılır ve her gün milyonlarca insan onunla konuşur. Şairler eski sözcükleri yeniden kullanır, gazeteler yeni kavramlar üretir, çocuklar masallarla büyür.",
+        "De Nederlandse taal wordt door veel mensen in Europa gesproken en heeft een lange geschiedenis. Vandaag leren kinderen haar op school en schrijven schrijvers er boeken in. Wie haar wil begrijpen luistert naar liedjes, leest kranten, bezoekt toneelstukken of praat gewoon met buren.",
+    ]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    # ids that are held out, so that none is trained on
+    held = [i for i in range(900000, 901000) if zlib.crc32(str(i).encode()) % 5 == 0]
+    bad = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in zip(held, [*noise, *foreign], strict=False)], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.known_language(spark, docs.union(bad), SF).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()}

@@ -19,6 +19,7 @@ table gives an empty result; only the named columns are read.
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,6 +37,7 @@ PART_CHARS, PART_ROWS = 1_000_000, 512
 #: N-grams whose vectors are held at once.
 BLOCK = 8192
 UND = "und"
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 @lru_cache(maxsize=1)
@@ -162,8 +164,17 @@ def fit(train: DataFrame, language: str = "lang", content: str = "text", dimensi
     return [x for x, k in zip(names, keep, strict=True) if k], _unit(out[keep])
 
 
-def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, content: str = "text", n: int = N) -> DataFrame:
-    """Adds ``lang_pred`` and ``score``, the cosine cut to 0 to 1, to the columns of ``docs``."""
+def distinct_words(text: str) -> str:
+    """The different words of a text, in lower case."""
+    return " ".join(dict.fromkeys(_WORD.findall(text.lower())))
+
+
+def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, content: str = "text", n: int = N, distinct: bool = False) -> DataFrame:
+    """Adds ``lang_pred`` and ``score``, the cosine cut to 0 to 1, to the columns of ``docs``.
+
+    With ``distinct``, each word of a text counts once, and ``letters``, how
+    many letters its different words have, is added, too.
+    """
     dimension = prototypes.shape[1] if len(names) else DIMENSION
     middle = prototypes.mean(0) if len(names) > 1 else np.zeros(dimension)
     centred = _unit(prototypes - middle).T.astype(np.float32) if len(names) else None
@@ -173,18 +184,20 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, content:
         for batch in batches:
             texts = batch.column(at).to_pylist()
             for i, j in _parts(texts):
-                some = [_has_letter(t) for t in texts[i:j]]
+                part = [distinct_words(t or "") for t in texts[i:j]] if distinct else texts[i:j]
+                some = [_has_letter(t) for t in part]
                 best, score = [UND] * (j - i), np.zeros(j - i)
                 if centred is not None and any(some):
-                    vectors = _unit(_unit(bundle([t or "" for t in texts[i:j]], dimension, n)) - middle.astype(np.float32))
+                    vectors = _unit(_unit(bundle([t or "" for t in part], dimension, n)) - middle.astype(np.float32))
                     cosines = vectors @ centred
                     best = [names[k] if ok else UND for k, ok in zip(cosines.argmax(1), some, strict=True)]
                     score = np.where(some, np.clip(cosines.max(1), 0, 1), 0).astype(np.float64)
                 cut = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*cut.columns, pa.array(best, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
+                more = [pa.array([len(t) - t.count(" ") for t in part], pa.int64())] if distinct else []
+                yield pa.RecordBatch.from_arrays([*cut.columns, pa.array(best, pa.string()), pa.array(score), *more], [*batch.schema.names, "lang_pred", "score", *["letters"] * distinct])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double" + ", letters long" * distinct)
 
 
 def held_out(key: str = "doc_id"):
