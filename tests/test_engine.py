@@ -207,3 +207,20 @@ def test_text_file_source(spark, tmp_path):
     (tmp_path / "b.txt").write_text("x")
     with pytest.raises(ValueError):
         lines.from_file(spark, f"file://{tmp_path}/*.txt")
+
+
+def test_store_script_runs_every_line(spark, monkeypatch):
+    seen, execute = [], Store.execute
+
+    def recording(self, lines):
+        seen.extend(lines.select("seq", "line").collect())
+        out = execute(self, lines)
+        seen_replies.extend(r["seq"] for r in out.select("seq").collect())
+        return out
+
+    seen_replies = []
+    monkeypatch.setattr(Store, "execute", recording)
+    queries.kv_store_script(spark, SF)
+    whole = sorted(r["seq"] for r in queries.inputs.lines(spark, SF).select("seq").collect())
+    assert sorted(r["seq"] for r in seen) == whole == sorted(seen_replies)
+    assert any(r["line"] == "quit now" for r in seen)

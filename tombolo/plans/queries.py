@@ -162,9 +162,12 @@ def kv_stream_replay(spark, sf_dir):
 
 
 def kv_store_script(spark, sf_dir):
-    """The script run on a store in three parts, with a flush after each and a merge; what is visible then."""
+    """The script run on a store in three parts, with a flush after each and a merge; what is visible then.
+
+    ``quit`` ends its session; who types on after it has a new one. A quit is the last line of its 1231.
+    """
     store = Store(spark, shared_folder(spark, "store"))
-    lines = inputs.lines(spark, sf_dir).filter("seq % 1231 <> 7")
+    lines = inputs.lines(spark, sf_dir).withColumn("session", F.concat_ws("#", "session", F.floor((F.col("seq") - 8) / 1231)))
     for part in range(3):
         store.execute(lines.filter(F.floor(F.col("seq") / 400) % 3 == part))
         store.flush()
