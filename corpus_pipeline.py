@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tombolo.llm import langid, near_dup, packing, secret_scan
-from tombolo.llm.common import table, written
+from tombolo.llm.common import shared_path, table, unused, written
 
 #: Texts whose distinct words have so many letters, and are no nearer to a learned
 #: language than this, are in none of them; a text of fewer letters says too little
@@ -23,12 +23,13 @@ FOREIGN = ((100, 0.08), (200, 0.2))
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go, and long ones that resemble no learned language."""
     names, prototypes = langid.fit(docs.filter(~langid.held_out()))
-    judged = langid.predict(docs, names, prototypes, distinct=True)
+    predicted, score, letters = added = tuple(unused(name, docs) for name in ("lang_pred", "score", "letters"))
+    judged = langid.predict(docs, names, prototypes, distinct=True, added=added)
     foreign = F.lit(False)
-    for least, score in FOREIGN if names else ():
-        foreign |= (F.col("letters") >= least) & (F.col("score") < score)
+    for fewest, least in FOREIGN if names else ():
+        foreign |= (F.col(letters) >= fewest) & (F.col(score) < least)
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rejected = foreign | ((F.col("lang_pred") == langid.UND) & ~(has_letter & F.lit(not names)))
+    rejected = foreign | ((F.col(predicted) == langid.UND) & ~(has_letter & F.lit(not names)))
     return judged.filter(~rejected).select(*docs.columns)
 
 
@@ -39,7 +40,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret found gives way to a mark; no document goes."""
-    clean = secret_scan.redact(docs)
+    ledger = secret_scan.Ledger(spark, shared_path(spark, "secret-ledger"))
+    ledger.update(docs)
+    clean = secret_scan.redact(docs, ledger.findings())
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
 

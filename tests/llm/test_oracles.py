@@ -73,7 +73,9 @@ def test_secrets_are_found_to_their_end(spark, tmp_path):
     texts = [t for t, _ in LONG]
     pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts}), tmp_path / "documents.parquet")
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    assert [r["text"] for r in secret_scan.redact(docs).orderBy("doc_id").collect()] == [clean for _, clean in LONG]
+    ledger = secret_scan.Ledger(spark, f"file://{tmp_path}/ledger")
+    ledger.update(docs)
+    assert [r["text"] for r in secret_scan.redact(docs, ledger.findings()).orderBy("doc_id").collect()] == [clean for _, clean in LONG]
     db = duckdb.connect()
     db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
     got, want = queries.op1_secret_scan(spark, str(tmp_path)), db.sql(queries.SQL["op1_secret_scan"])

@@ -28,12 +28,17 @@ def salted_left_join(left: DataFrame, right: DataFrame, key: str, spread: Column
     rows of ``left`` pick a salt from ``spread`` (any column that varies inside
     a key), so no task gets all rows of a hot key.
     """
-    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return (
-        left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-        .join(salted, [key, "_salt"], "left")
-        .drop("_salt")
-    )
+    salt = unused("salt", left, right)
+    salted = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [key, salt], "left").drop(salt)
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, made longer until no column of the tables has it in either case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +57,11 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def few(df: DataFrame, per_core: int = 2) -> DataFrame:
     """At most some partitions per core: for tables of ids, whose many small files cost more than their rows."""
     return df.coalesce(per_core * df.sparkSession.sparkContext.defaultParallelism)
@@ -69,7 +79,7 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -3,9 +3,10 @@
 Every letter has a random vector of +1 and -1, made from its code point. An
 n-gram's vector binds its letters' vectors, each permuted by its place, by
 elementwise products. A text's vector bundles (sums) those of its n-grams; a
-language's prototype bundles the n-grams of its training texts. Before comparison the mean of the prototypes is
-taken from texts and prototypes, which leaves what sets languages apart, and
-the prototype with the largest cosine is predicted.
+language's prototype bundles the n-grams of its training texts. Before
+comparison the mean of the prototypes is taken from texts and prototypes, which
+leaves what sets languages apart, and the prototype with the largest cosine is
+predicted.
 
 Texts are lower-cased; letters are what Unicode calls letters, and every run of
 other characters is one boundary, so that n-grams see where words begin and end.
@@ -13,8 +14,11 @@ other characters is one boundary, so that n-grams see where words begin and end.
 Defined results: a null text and one without a letter is ``und`` with score 0;
 training rows with a null text or language count for nothing; where no language
 could be learned all texts are ``und``; of equal cosines the alphabetically
-first language is predicted; repeated rows are predicted once each; an empty
-table gives an empty result; only the named columns are read.
+first language is predicted; repeated rows are predicted once each; very long
+texts are read whole, all their n-grams at once; an empty table gives an empty
+result; only the named columns are read. More than 2000 different values of the
+language column raise an error, as they are no languages and each is a vector
+on the driver.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ PART_CHARS, PART_ROWS = 1_000_000, 512
 #: N-grams whose vectors are held at once.
 BLOCK = 8192
 UND = "und"
+#: Different values of the language column, at most.
+LANGUAGES = 2000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -154,8 +160,11 @@ def fit(train: DataFrame, language: str = "lang", content: str = "text", dimensi
         .mapInArrow(add, "language string, place int, total long")
         .groupBy("language", "place")
         .agg(F.sum("total").alias("total"))
+        .limit(LANGUAGES * dimension + 1)
         .collect()
     )
+    if len(rows) > LANGUAGES * dimension:
+        raise ValueError(f"column {language} has more than {LANGUAGES} values")
     names = sorted({r["language"] for r in rows})
     out = np.zeros((len(names), dimension))
     for r in rows:
@@ -169,11 +178,12 @@ def distinct_words(text: str) -> str:
     return " ".join(dict.fromkeys(_WORD.findall(text.lower())))
 
 
-def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, content: str = "text", n: int = N, distinct: bool = False) -> DataFrame:
+def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, content: str = "text", n: int = N, distinct: bool = False, added: tuple[str, str, str] = ("lang_pred", "score", "letters")) -> DataFrame:
     """Adds ``lang_pred`` and ``score``, the cosine cut to 0 to 1, to the columns of ``docs``.
 
     With ``distinct``, each word of a text counts once, and ``letters``, how
-    many letters its different words have, is added, too.
+    many letters its different words have, is added, too. ``added`` gives the
+    three other names where ``docs`` has these.
     """
     dimension = prototypes.shape[1] if len(names) else DIMENSION
     middle = prototypes.mean(0) if len(names) > 1 else np.zeros(dimension)
@@ -194,10 +204,11 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, content:
                     score = np.where(some, np.clip(cosines.max(1), 0, 1), 0).astype(np.float64)
                 cut = batch.slice(i, j - i)
                 more = [pa.array([len(t) - t.count(" ") for t in part], pa.int64())] if distinct else []
-                yield pa.RecordBatch.from_arrays([*cut.columns, pa.array(best, pa.string()), pa.array(score), *more], [*batch.schema.names, "lang_pred", "score", *["letters"] * distinct])
+                yield pa.RecordBatch.from_arrays([*cut.columns, pa.array(best, pa.string()), pa.array(score), *more], [*batch.schema.names, *added[: 2 + distinct]])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double" + ", letters long" * distinct)
+    kinds = ("string", "double", "long")[: 2 + distinct]
+    return docs.mapInArrow(run, ", ".join([schema, *[f"`{c}` {t}" for c, t in zip(added, kinds, strict=False)]]))
 
 
 def held_out(key: str = "doc_id"):

@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tombolo.llm import bpe, fingerprints, langid, license_scan, lm_score, near_dup, oracle, packing, secret_scan, token_counts, topk
-from tombolo.llm.common import table
+from tombolo.llm.common import shared_path, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scanned = secret_scan.scan(secret_scan.blobs(docs))
-    found = secret_scan.findings_by_path(docs, scanned)
+    ledger = secret_scan.Ledger(spark, shared_path(spark, "secret-ledger"))
+    ledger.update(docs)
+    found = secret_scan.findings_by_path(docs, ledger.findings())
     count = lambda kind: F.expr(f"CAST(size(filter(spans, x -> x.kind = '{kind}')) AS BIGINT)").alias(f"n_{kind}")
     return found.select(
         "doc_id",
