@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from tombolo.llm import common
 from tombolo.llm import near_dup as nd
 
 SCHEMA = "doc_id long, text string, class_id string"
@@ -64,9 +65,11 @@ def corpus(seed, base=400):
     return out
 
 
-@pytest.mark.parametrize("tile", [256, 16])
-def test_classes_against_brute_force(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile, followers, hot", [(256, nd.FOLLOWERS, common.HOT_ROWS), (16, 20, 30)])
+def test_classes_against_brute_force(spark, monkeypatch, tile, followers, hot):
     monkeypatch.setattr(nd.rest_links, "__defaults__", (nd.SIMILAR, tile))
+    monkeypatch.setattr(nd.verified, "__defaults__", (nd.SIMILAR, followers))
+    monkeypatch.setattr(common.split_join, "__defaults__", (*common.split_join.__defaults__[:-1], hot))
     texts = corpus(1)
     frame = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], SCHEMA).repartition(3)
     classes, links = nd.near_duplicates(frame)
@@ -133,7 +136,7 @@ def test_members_of_a_tile_against_pairwise_similarity():
     rows = [{"doc_id": i, "class": i, "out": True, "hashes": h.tobytes(), "times": t.astype("<u4").tobytes()} for i, (h, t) in enumerate(own)]
     tile = nd.Tile(rows, idf, 0.8)
     for i, t in enumerate(texts):
-        expected = [weighted.similarity(weighted.vector(i, t), weighted.vector(j, u)) for j, u in enumerate(texts)]
+        expected = [weighted.similarity(weighted.vector(t), weighted.vector(u)) for u in texts]
         np.testing.assert_allclose(tile.similarities(*tile._vector(rows[i])), expected, rtol=1e-12)
 
 
@@ -152,15 +155,43 @@ def test_samples_agree_as_often_as_texts_are_similar(size, more):
     rng = random.Random(size)
     weighted = nd.Weighted(np.ones(nd.CELLS, np.float32))
     agree, similar = [], []
-    for k in range(60):
+    for _ in range(60):
         text = [f"w{rng.randrange(10**6)}" for _ in range(size)]
         pair = [" ".join(text), " ".join(text + [f"x{rng.randrange(10**6)}" for _ in range(more)])]
         owner, h, times = nd.shingles(pair, weighted.hashes)
         a, b = nd.samples(owner, h, times, np.ones(len(h), np.float32), 2)
         assert len({*a}) > 1 or size < 6
         agree.append((a == b).mean())
-        similar.append(weighted.similarity(weighted.vector(2 * k, pair[0]), weighted.vector(2 * k + 1, pair[1])))
+        similar.append(weighted.similarity(*map(weighted.vector, pair)))
     p = np.mean(similar)
     # mean and spread are those of independent samples
     assert abs(np.mean(agree) - p) < 5 * np.sqrt(p * (1 - p) / nd.SAMPLES / 60) + 1e-9
     assert np.std(agree) < 1.5 * np.sqrt(p * (1 - p) / nd.SAMPLES) + 1e-9
+
+
+#: Words of a text, and words more in its near copy: similarity 0.8 or just above where whole shingles allow it.
+EDITS = ((6, 0), (10, 1), (14, 2), (20, 4), (40, 9), (100, 24), (300, 74))
+
+
+@pytest.mark.parametrize("size, more", EDITS)
+def test_recall_of_near_pairs_by_length(size, more):
+    """At least 99 in 100 of 500 pairs share a bucket, at every length."""
+    rng, hashes, idf = random.Random(size), nd.WordHashes(), np.ones(nd.CELLS, np.float32)
+    found = 0
+    for _ in range(500):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        pair = [" ".join(text), ", ".join(text + [f"x{rng.randrange(10**6)}" for _ in range(more)])]
+        owner, h, times = nd.shingles(pair, hashes)
+        a, b = nd.buckets(nd.samples(owner, h, times, idf[nd._cell(h)], 2))
+        found += bool((a == b).any())
+    assert found >= 495
+
+
+def test_a_split_join_gives_the_rows_of_a_join(spark):
+    left = spark.range(1000).selectExpr("id", "if(id < 700, 7L, id % 5) AS lane")
+    right = spark.createDataFrame([(7, "a", 700), (1, "b", 60), (9, "c", 0)], "lane long, lanes string, n long")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, left.join(right, "lane", how).collect()), key=str)
+        for rows in (None, "n"):
+            got = common.split_join(left, right, "lane", common.F.col("id"), how, rows, 50)
+            assert sorted(map(tuple, got.collect()), key=str) == want

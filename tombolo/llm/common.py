@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow.compute as pc
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 #: Copies of the small side in a salted join: a key that holds a third of all
 #: rows is dealt to this many partitions.
 SALTS = 32
+#: Rows of a key beyond which a join splits it.
+HOT_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +36,23 @@ def salted_left_join(left: DataFrame, right: DataFrame, key: str, spread: Column
     return left.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [key, salt], "left").drop(salt)
 
 
+def split_join(left: DataFrame, right: DataFrame, key: str, spread: Column, how: str = "inner", rows: str | None = None, most: int = HOT_ROWS) -> DataFrame:
+    """Join on ``key``, of which ``right`` has one row each, where a key may hold a large part of ``left``.
+
+    Keys with more than ``most`` rows are counted first, or known from column
+    ``rows`` of ``right``; they are fewer than the rows by that factor, so they
+    are broadcast. Their row of ``right`` is repeated once per lane of ``most``
+    rows, and rows of ``left`` pick a lane from ``spread``.
+    """
+    lanes, lane = unused("lanes", left, right), unused("lane", left, right)
+    counts = right.select(key, F.col(rows).alias(lanes)) if rows else left.groupBy(key).agg(F.count(F.lit(1)).alias(lanes))
+    hot = F.broadcast(counts.filter(F.col(lanes) > most).select(key, F.ceil(F.col(lanes) / most).alias(lanes)))
+    many = F.coalesce(F.col(lanes), F.lit(1))
+    dealt = left.join(hot, key, "left").withColumn(lane, F.pmod(F.xxhash64(spread), many)).drop(lanes)
+    repeated = right.join(hot, key, "left").withColumn(lane, F.explode(F.sequence(F.lit(0).cast("long"), many - 1))).drop(lanes)
+    return dealt.join(repeated, [key, lane], how).drop(lane)
+
+
 def unused(name: str, *tables: DataFrame) -> str:
     """``name``, made longer until no column of the tables has it in either case."""
     taken = {c.lower() for t in tables for c in t.columns}
@@ -44,44 +64,56 @@ def unused(name: str, *tables: DataFrame) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the session names none (tests on one machine), a folder below the
-    working directory of the local user is set.
+    Only on one machine, as in tests, a session may name none; a folder of the
+    local user is set then.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         root = Path(os.environ.get("TOMBOLO_CHECKPOINTS", "/tmp/checkpoints")).as_uri()
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+#: Paths that were written below the shared folder and not yet removed.
+_kept: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared one, which goes at the latest when the session's process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where, files = _files(spark, path)
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    _kept.append(path)
+    return path
 
 
-def few(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """At most some partitions per core: for tables of ids, whose many small files cost more than their rows."""
-    return df.coalesce(per_core * df.sparkSession.sparkContext.defaultParallelism)
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so that a lost executor costs no recomputation of its lineage."""
-    sc = df.sparkSession.sparkContext
-    root = shared_dir(df.sparkSession)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Removes what is written inside, but for the table written last, which is what it was for."""
+    begin = len(_kept)
+    yield
+    for path in _kept[begin:-1]:
+        where, files = _files(spark, path)
+        files.delete(where, True)
+    del _kept[begin:-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
+    """Write ``df`` as Parquet below the shared folder and read it back: a lost executor then costs no recomputation of what came before."""
+    path = f"{shared_path(df.sparkSession, name)}/rows"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def byte_letters() -> dict[int, str]:

@@ -16,7 +16,9 @@ Links are pairs whose weighted Jaccard similarity, computed from the texts, is
 at least 0.8. The classes are the connected components over links.
 
 * Exact copies are one node, so no copy is compared.
-* Every member of a bucket is compared with the bucket's smallest id.
+* Every member of a bucket is compared with the bucket's smallest id. The members
+  that very many share a leader with are dealt to several tasks, each of which
+  gets the leader's text once.
 * What is left, members of one bucket in different classes, are compared with
   each other in tiles. A link joins two classes, which are not compared any
   more. Nothing is capped: two members of a bucket end up in one class, or were
@@ -46,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tombolo.llm.common import cut, few, salted_left_join, text_parts, written
+from tombolo.llm.common import salted_left_join, split_join, text_parts, written
 
 WORDS, SIMILAR = 5, 0.8
 ROWS, BANDS = 6, 32
@@ -58,6 +60,8 @@ PART_CHARS = 500_000
 COPY_BLOCK = 1 << 17
 #: Members of a bucket in a tile, and how many times as many may go past it in one task.
 TILE, LANE = 256, 16
+#: Members of a bucket that one task compares with the bucket's leader.
+FOLLOWERS = 4096
 _WORD = re.compile(r"\w+")
 _U = np.uint64
 
@@ -126,7 +130,7 @@ def document_frequencies(docs: DataFrame, content: str = "text") -> tuple[int, n
                 owner, h, _ = shingles(some, hashes)
                 cells += np.bincount(np.unique(owner * CELLS + _cell(h)) % CELLS, minlength=CELLS)
         if n:
-            blocks = [cells[b * width : (b + 1) * width].tobytes() for b in range(_CELL_BLOCKS)]
+            blocks = [cells[b * width : (b + 1) * width].astype("<u4").tobytes() for b in range(_CELL_BLOCKS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(_CELL_BLOCKS), pa.int32()), pa.array([n] * _CELL_BLOCKS, pa.int64()), pa.array(blocks, pa.binary())], ["block", "n", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +138,7 @@ def document_frequencies(docs: DataFrame, content: str = "text") -> tuple[int, n
         total: dict[int, int] = {}
         for batch in batches:
             for b, n, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                sums[b] = sums.get(b, 0) + np.frombuffer(c, np.int64)
+                sums[b] = sums.get(b, 0) + np.frombuffer(c, "<u4").astype(np.int64)
                 total[b] = total.get(b, 0) + n
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(total.values()), pa.int64()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], ["block", "n", "counts"])
 
@@ -200,6 +204,16 @@ def samples(owner: np.ndarray, h: np.ndarray, times: np.ndarray, idf: np.ndarray
     return chosen.reshape(n, SAMPLES)
 
 
+def buckets(drawn: np.ndarray) -> np.ndarray:
+    """A row of ``BANDS`` bucket numbers for each row of samples."""
+    bands = drawn.reshape(len(drawn), ROWS, BANDS)
+    with np.errstate(over="ignore"):
+        key = np.arange(1, BANDS + 1, dtype=_U)[None].repeat(len(drawn), 0)
+        for k in range(ROWS):
+            key = _mix(key * _U(0x9E3779B97F4A7C15) + bands[:, k])
+    return key.view(np.int64)
+
+
 def signatures(docs: DataFrame, idf: np.ndarray, doc_id: str = "doc_id", content: str = "text") -> DataFrame:
     """(doc_id, key, buckets): the text's hash and its buckets in all bands."""
 
@@ -210,17 +224,12 @@ def signatures(docs: DataFrame, idf: np.ndarray, doc_id: str = "doc_id", content
                 owner, h, times = shingles(some, hashes)
                 n = np.bincount(owner, minlength=len(some))
                 drawn = samples(owner, h, times, idf[_cell(h)], len(some))
-                bands = drawn.reshape(len(some), ROWS, BANDS)
-                with np.errstate(over="ignore"):
-                    key = np.arange(1, BANDS + 1, dtype=_U)[None].repeat(len(some), 0)
-                    for k in range(ROWS):
-                        key = _mix(key * _U(0x9E3779B97F4A7C15) + bands[:, k])
-                buckets = [b if m else [] for b, m in zip(key.view(np.int64), n, strict=True)]
+                own = [b if m else [] for b, m in zip(buckets(drawn), n, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
                         pa.array([xxhash.xxh128_digest(t) for t in some], pa.binary()),
-                        pa.array(buckets, pa.list_(pa.int64())),
+                        pa.array(own, pa.list_(pa.int64())),
                     ],
                     ["doc_id", "key", "buckets"],
                 )
@@ -229,18 +238,14 @@ def signatures(docs: DataFrame, idf: np.ndarray, doc_id: str = "doc_id", content
 
 
 class Weighted:
-    """Exact weighted Jaccard similarity of texts; remembers the last few."""
+    """Exact weighted Jaccard similarity of texts."""
 
     def __init__(self, idf: np.ndarray):
-        self.idf, self.hashes, self.recent = idf, WordHashes(), {}
+        self.idf, self.hashes = idf, WordHashes()
 
-    def vector(self, key: int, text: str) -> tuple[np.ndarray, np.ndarray]:
-        if key not in self.recent:
-            if len(self.recent) >= 64:
-                self.recent.clear()
-            _, h, times = shingles([text], self.hashes)
-            self.recent[key] = h, times * self.idf[_cell(h)].astype(np.float64)
-        return self.recent[key]
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        _, h, times = shingles([text], self.hashes)
+        return h, times * self.idf[_cell(h)].astype(np.float64)
 
     def similarity(self, a: tuple, b: tuple) -> float:
         (ha, wa), (hb, wb) = a, b
@@ -253,21 +258,39 @@ class Weighted:
         return float(both / (wa.sum() + wb.sum() - both))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float = SIMILAR) -> DataFrame:
-    """(a, b, similarity) of the pairs that are similar enough; ``texts`` has one row (doc_id, text) per id."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float = SIMILAR, followers: int = FOLLOWERS) -> DataFrame:
+    """(a, b, similarity) of the pairs (a, b, n) that are similar enough; ``texts`` has one row (doc_id, text) per id.
+
+    ``n`` is at least the number of pairs with that ``a`` in one bucket; it says
+    over how many lanes they are dealt. A lane gets its leader's text once and
+    the others' texts after it, so that no task has all of a hot leader's pairs.
+    """
+    lane = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / followers)).alias("lane")
+    dealt = pairs.select("a", lane, "b")
+    fields = ("a", "lane", "side", F.col("doc_id").alias("id"), "text")
+    leaders = dealt.select("a", "lane").distinct().join(texts, F.col("a") == F.col("doc_id")).withColumn("side", F.lit(0)).select(*fields)
+    others = dealt.join(texts, F.col("b") == F.col("doc_id")).withColumn("side", F.lit(1)).select(*fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weighted = Weighted(idf)
+        weighted, leader = Weighted(idf), None
         for batch in batches:
-            a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-            s = [weighted.similarity(weighted.vector(x, t), weighted.vector(y, u)) for x, y, t, u in zip(a, b, ta, tb, strict=True)]
-            keep = [i for i, v in enumerate(s) if v >= least]
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64()), pa.array([s[i] for i in keep], pa.float64())], ["a", "b", "similarity"])
+            found = []
+            for a, side, i, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
+                own = weighted.vector(text)
+                if side == 0:
+                    leader = own
+                elif (s := weighted.similarity(leader, own)) >= least:
+                    found.append((a, i, s))
+            weighted.hashes.trim()
+            yield _links(found)
+
+    width = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return leaders.unionByName(others).repartition(width, "a", "lane").sortWithinPartitions("a", "lane", "side").mapInArrow(run, "a long, b long, similarity double")
+
 
-    return joined.mapInArrow(run, "a long, b long, similarity double")
+def _links(found: list[tuple[int, int, float]]) -> pa.RecordBatch:
+    columns = zip(*found, strict=True) if found else ([], [], [])
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["a", "b", "similarity"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -275,20 +298,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the smallest class among neighbours and then the class
     which that one had before; it is written out, so a round never recomputes
-    earlier ones.
+    earlier ones. An id with very many neighbours is split in the joins.
     """
     both = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).union(edges.select("b", "a"))
-    both = cut(few(both.union(both.select("id", "id")).distinct()))
-    now = cut(few(both.groupBy("id").agg(F.min("other").alias("class"))))
+    both = written(both.union(both.select("id", "id")).distinct(), "edges")
+    now = written(both.groupBy("id").agg(F.min("other").alias("class")), "classes")
     total = None
     while True:
         new_total = now.agg(F.sum(F.col("class").cast("decimal(38,0)"))).first()[0]
         if new_total == total:  # classes only ever get smaller
             return now
         total = new_total
-        near = both.join(now.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("class").alias("class"))
+        near = split_join(both, now.withColumnRenamed("id", "other"), "other", F.col("id")).groupBy("id").agg(F.min("class").alias("class"))
         before = now.select(F.col("id").alias("class"), F.col("class").alias("next"))
-        now = cut(few(near.join(before, "class").select("id", F.col("next").alias("class"))))
+        now = written(split_join(near, before, "class", F.col("id")).select("id", F.col("next").alias("class")), "classes")
 
 
 def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -296,9 +319,9 @@ def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     of = lambda name: classes.select(F.col("id").alias(name), F.col("class").alias(f"class_{name}"))
     between = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b"))
     new = components(between).select(F.col("id").alias("class"), F.col("class").alias("new"))
-    known = classes.join(new, "class", "left").select("id", F.coalesce("new", "class").alias("class"))
+    known = split_join(classes, new, "class", F.col("id"), "left").select("id", F.coalesce("new", "class").alias("class"))
     # an id that had no link before is its own class
-    return cut(few(known.unionByName(new.select(F.col("class").alias("id"), F.col("new").alias("class"))).distinct()))
+    return written(known.unionByName(new.select(F.col("class").alias("id"), F.col("new").alias("class"))).distinct(), "classes")
 
 
 def classed(shared: DataFrame, classes: DataFrame) -> DataFrame:
@@ -387,8 +410,8 @@ def rest_links(rows: DataFrame, texts: DataFrame, idf: np.ndarray, least: float
     """
     sizes = rows.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("rows"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("rows", "class")).alias("m"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("bucket", F.col("m.class").alias("main"))
-    rows = rows.join(largest, "bucket").select("bucket", "doc_id", "n_members", "class", (F.col("class") != F.col("main")).alias("out"))
-    rows = cut(few(rows))
+    rows = split_join(rows, largest, "bucket", F.col("doc_id")).select("bucket", "doc_id", "n_members", "class", (F.col("class") != F.col("main")).alias("out"))
+    rows = written(rows, "near-dup-rest")
     some = texts.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
     rows = rows.join(vectors(some), "doc_id")
     tiles = F.ceil(F.col("n_members") / F.lit(tile)).cast("int")
@@ -413,8 +436,7 @@ def rest_links(rows: DataFrame, texts: DataFrame, idf: np.ndarray, least: float
                 if held:
                     built = built or Tile(held, idf, least)
                     found += built.links(r)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["a", "b", "similarity"])
+            yield _links(found)
 
     dealt = fixed.unionByName(moving)
     width = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -430,22 +452,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", content: str = "tex
     known = sigs.filter(F.col("doc_id").isNotNull())
     # exact copies: few groups have more than one member, and only those are joined back
     copies = known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
-    members = cut(few(salted_left_join(known.select("doc_id", "key"), copies, "key", F.col("doc_id")).select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).distinct()))
+    members = written(salted_left_join(known.select("doc_id", "key"), copies, "key", F.col("doc_id")).select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).distinct(), "near-dup-copies")
     same = members.filter("rep <> doc_id")
     nodes = sigs.join(same.select("doc_id"), "doc_id", "left_anti").filter(F.col("doc_id").isNotNull())
 
-    buckets = nodes.select("doc_id", F.explode("buckets").alias("bucket"))
-    leaders = buckets.groupBy("bucket").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n_members")).filter("leader < last").drop("last")
-    shared = written(few(buckets.join(leaders, "bucket").select("bucket", "leader", "doc_id", "n_members"), 4), "near-dup-buckets")
-    pairs = cut(few(shared.filter("leader < doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()))
+    placed = nodes.select("doc_id", F.explode("buckets").alias("bucket"))
+    leaders = placed.groupBy("bucket").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n_members")).filter("leader < last").drop("last")
+    leaders = written(leaders, "near-dup-leaders")
+    shared = written(split_join(placed, leaders, "bucket", F.col("doc_id"), rows="n_members").select("bucket", "leader", "doc_id", "n_members"), "near-dup-buckets")
+    pairs = shared.filter("leader < doc_id").groupBy(F.col("leader").alias("a"), F.col("doc_id").alias("b")).agg(F.max("n_members").alias("n"))
+    pairs = written(pairs, "near-dup-pairs")
 
     involved = shared.select("doc_id").distinct()
     texts = docs.filter(F.col("doc_id").isNotNull()).join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    texts = written(few(texts, 4), "near-dup-texts")
-    links = cut(few(verified(pairs, texts, idf, least), 4))
+    texts = written(texts, "near-dup-texts")
+    links = written(verified(pairs, texts, idf, least), "near-dup-links")
     classes = components(links.select("a", "b"))
 
-    more = cut(few(rest_links(few(classed(shared, classes)), texts, idf, least)))
+    more = written(rest_links(classed(shared, classes), texts, idf, least), "near-dup-links")
     if not more.isEmpty():
         links = links.union(more)
         classes = merged(classes, more)

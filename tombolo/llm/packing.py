@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tombolo.llm.common import byte_letters, cut
+from tombolo.llm.common import byte_letters, written
 
 CAPACITY = 1024
 END_ID = 2
@@ -208,7 +208,7 @@ def slots(shapes: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
 
 def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", content: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece."""
-    cutted = cut(pieces(docs, vocabulary, doc_id, content, capacity, end_id))
+    cutted = written(pieces(docs, vocabulary, doc_id, content, capacity, end_id), "pieces")
     # few counts per partition: ranks of a length run on from partition to partition
     per_part = cutted.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
