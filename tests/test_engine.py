@@ -1,14 +1,17 @@
 import random
+import socket
+import time
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tombolo.functions import bloom
 from tombolo.functions.commands import HELP_TEXT, parsed
 from tombolo.operators import changelog, replay, segments
 from tombolo.plans import oracle, queries
 from tombolo.schema import CHANGE
-from tombolo.sources import frames, lines
+from tombolo.sources import frames, lines, server
 from tombolo.sources.store import Conflict, Store
 from tombolo.streaming import replay as streams
 
@@ -89,9 +92,9 @@ def test_views_of_a_changelog(spark):
     assert {r["key"] for r in changelog.tombstones(c).collect()} == {"b", "z"}
     assert changelog.get(c, "b").count() == 0
     assert {tuple(r) for r in changelog.as_of(c, 1).collect()} == {("b", "1"), ("a", "2")}
-    assert [r["key"] for r in changelog.delete_if_present(c, c).collect()].sort() == ["", "a"].sort()
+    assert sorted(r["key"] for r in changelog.delete_if_present(c, c).collect()) == ["", "a"]
     s = changelog.stats(c).first()
-    assert (s["n_changes"], s["n_keys"], s["n_live"], s["n_tombstones"], s["tracked_bytes"]) == (6, 4, 2, 2, 3 + 2 + 2 + 2)
+    assert (s["n_changes"], s["n_keys"], s["n_live"], s["n_tombstones"], s["tracked_bytes"]) == (6, 4, 2, 2, (20 + 3) + (20 + 2) + (12 + 2) + (12 + 2))
     assert changelog.stats(c.limit(0)).first()["is_empty"]
 
 
@@ -114,27 +117,38 @@ def test_flush_points_against_a_dictionary(spark, shards):
         held, number = {}, 0
         for seq, (_, key, value) in enumerate(rows):
             if shard_of[key] == shard:
-                held[key] = 2 * len(key) + len(value)
-                if sum(held.values()) > 300:
+                held[key] = 20 + 2 * len(key) + len(value)
+                if sum(held.values()) > 900:
                     number += 1
                     want.append((shard, number, seq, sum(held.values())))
                     held = {}
-    assert sorted(tuple(r) for r in segments.flush_points(frame, 300, shards).collect()) == sorted(want)
+    assert sorted(tuple(r) for r in segments.flush_points(frame, 900, shards).collect()) == sorted(want)
 
 
 def test_bloom_has_no_false_negative_and_few_false_positives(spark):
     keys = spark.range(150).selectExpr("0L AS segment_id", "concat('k', id) AS key")
-    bits, sizes = bloom.build(keys), spark.createDataFrame([(0, 1500), (1, 0)], "segment_id long, bit_count long")
-    asked = spark.range(5150).selectExpr("concat('k', id) AS key")
-    got = {(r["segment_id"], r["key"]): r["may_contain"] for r in bloom.probe(bits, sizes, asked).collect()}
+    asked = bloom.all_pairs(spark.range(5150).selectExpr("concat('k', id) AS key"), [(0, 1500), (1, 0)])
+    got = {(r["segment_id"], r["key"]): r["may_contain"] for r in bloom.probe(bloom.bitmaps(bloom.build(keys)), asked).collect()}
     assert all(got[0, f"k{i}"] for i in range(150)) and all(got[1, f"k{i}"] for i in range(5150))
     assert sum(got[0, f"k{i}"] for i in range(150, 5150)) < 100
     assert spark.range(1).select(bloom.byte_size(bloom.size_of(parsed_lit(3)))).first()[0] == 4
 
 
-def parsed_lit(n):
-    from pyspark.sql import functions as F
+def test_bloom_filters_of_several_blocks_and_too_many_bits(spark, monkeypatch):
+    monkeypatch.setattr(bloom, "_BLOCK_BITS", 7)
+    monkeypatch.setattr(bloom, "BLOCK", 128)
+    keys = spark.range(300).selectExpr("id % 2 AS segment_id", "concat('k', id) AS key")
+    bits = bloom.build(keys)
+    set_bits = {(r["segment_id"], r["position"]) for r in bits.collect()}
+    asked = bloom.all_pairs(spark.range(2000).selectExpr("concat('k', id) AS key"), [(0, 1500), (1, 1500)])
+    places = asked.select("segment_id", "key", bloom.positions(*bloom.fast_hashes(F.col("key")), F.col("bit_count")).alias("p")).collect()
+    want = {(r["segment_id"], r["key"]): all((r["segment_id"], p) in set_bits for p in r["p"]) for r in places}
+    assert {(r["segment_id"], r["key"]): r["may_contain"] for r in bloom.probe(bloom.bitmaps(bits), asked).collect()} == want
+    with pytest.raises(Exception, match="overflow"):
+        spark.range(1).select(bloom.size_of(F.lit(1 << 62))).collect()
+
 
+def parsed_lit(n):
     return F.lit(n)
 
 
@@ -146,6 +160,7 @@ def test_frames_and_their_damage(spark):
     flipped = a[:12] + bytes([a[12] ^ 1]) + a[13:]
     assert [p for _, p in good(flipped + b)] == [b[10:]]
     assert len(good(a[:-3] + b)) == 1 and len(good(a + b[:-1])) == 1
+    assert frames.has_at_least_one(b"xx" + a) and not frames.has_at_least_one(a[:-1]) and not frames.has_at_least_one(b"")
     assert frames.status_at(b"abcde", 0)[0] == "not_enough_bytes"
     assert frames.status_at(b"\0\0" + a[2:], 0)[0] == "magic_mismatch"
     assert frames.status_at(a[:2] + bytes(4) + a[6:], 0)[0] == "checksum_mismatch"
@@ -179,6 +194,73 @@ def test_store_layers_reopening_and_conflicts(spark, tmp_path):
     assert not t.maybe_flush() and t.stats()["n_keys"] == 0
 
 
+def test_merges_leave_open_views_alone_and_vacuum_takes_old_folders(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/store")
+    s.set("a", "1")
+    s.flush()
+    view = s.live()
+    s.set("b", "2")
+    s.flush()
+    s.compact()
+    assert [tuple(r) for r in view.collect()] == [("a", "1")]
+    assert s.vacuum() == [] and [tuple(r) for r in view.collect()] == [("a", "1")]
+    assert sorted(n.split("/")[0] for n in s.vacuum(0)) == ["segments", "segments", "wal", "wal"]
+    assert sorted(tuple(r) for r in s.live().collect()) == [("a", "1"), ("b", "2")]
+
+
+def test_a_batch_that_is_run_again_changes_nothing(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/store")
+    first, second = ["set a 1", "del a", "get a"], ["get a", "set a 2"]
+    for number, script in ((0, first), (0, first), (1, second), (0, first), (1, second)):
+        replies = [r["response"] for r in s.execute(lines.from_list(spark, script), ("x", number)).orderBy("seq").collect()]
+        assert replies == model(["s" + x[1:] if x.startswith("set") else x for x in script])[0]
+        s = Store(spark, s.path)
+    assert s.manifest.batches == (("x", 1),) and s.changes().count() == 3 and s.get("a") == "2"
+    s.execute(lines.from_list(spark, ["help"]), ("x", 2))
+    assert s.manifest.batches == (("x", 2),)
+
+
+def test_line_server_shares_a_store_between_clients(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/store")
+    with pytest.raises(ValueError):
+        server.address_of(spark)
+    spark.conf.set("tombolo.address", "127.0.0.1")
+    spark.conf.set("tombolo.port", "0")
+    front = server.LineServer(s, server.address_of(spark))
+    front.start()
+    try:
+        one, two = (socket.create_connection(front.address) for _ in range(2))
+        told = lambda c: c.makefile("rb")
+        a, b = told(one), told(two)
+
+        def run(*typed):
+            n = front._seq
+            for c, line in typed:
+                c.sendall(line.encode() + b"\n")
+                n += 1
+                while front._seq < n:
+                    time.sleep(0.01)
+            front.step()
+
+        run((one, "set a 1"), (two, "get a"), (two, "nonsense"), (one, ""))
+        assert [a.readline(), a.readline()] == [b"a => 1\n", b"Error: missing required arguments\n"]
+        assert [b.readline(), b.readline()] == [b"a => 1\n", b"Error: unrecognized command\n"]
+        run((two, "del a"), (two, "quit"), (one, "get a"))
+        assert b.read() == b"a deleted\n" and a.readline() == b"a not found\n"
+        a.close()
+        one.close()
+        for _ in range(500):
+            front.step()
+            if not front._ends:
+                break
+            time.sleep(0.01)
+        assert not front._ends and s.live().count() == 0
+    finally:
+        front.stop()
+        spark.conf.unset("tombolo.address")
+        spark.conf.unset("tombolo.port")
+
+
 def test_store_runs_a_script_and_flushes_when_large(spark, tmp_path):
     script = random_script(9, 120)
     s = Store(spark, f"file://{tmp_path}/store", flush_bytes=50)

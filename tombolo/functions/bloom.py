@@ -1,4 +1,4 @@
-"""Bloom filters in logical form: sets of bit positions.
+"""Bloom filters in logical form: sets of bit positions, and bitmaps of them.
 
 Parquet's own filters skip row groups; these columns make the same test
 visible and portable, ten bits a key and seven positions by double hashing.
@@ -8,15 +8,21 @@ and an older value come back.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS_PER_KEY, HASHES = 10, 7
+#: Bits of a filter that lie in one row of its bitmap, and the most that a filter may have.
+_BLOCK_BITS, MOST_BITS = 16, (1 << 32) - 1
+BLOCK = 1 << _BLOCK_BITS
 
 
 def size_of(keys: Column, bits_per_key: int = BITS_PER_KEY) -> Column:
-    """Bits of a filter for that many keys."""
-    return (keys * bits_per_key).cast("long")
+    """Bits of a filter for that many keys; an error where they are more than a filter may have."""
+    bits = F.try_multiply(keys.cast("long"), F.lit(bits_per_key).cast("long"))
+    return F.when(bits <= MOST_BITS, bits).otherwise(F.raise_error(F.lit("bloom filter bit count overflow")).cast("long"))
 
 
 def byte_size(bits: Column) -> Column:
@@ -35,13 +41,15 @@ def portable_hashes(key: Column) -> tuple[Column, Column]:
     return part(1), part(9)
 
 
-def positions(key: Column, bits: Column, hashes=fast_hashes, k: int = HASHES) -> Column:
-    """The ``k`` positions of a key, (h1 + i h2) mod bits; none where there are no bits.
+def positions(one: Column, two: Column, bits: Column, k: int = HASHES) -> Column:
+    """The ``k`` positions of a key with hashes ``one`` and ``two``, (one + i two) mod bits; none where there are no bits.
 
     Both hashes are reduced first, so that no product leaves 64 bits.
     """
-    one, two = (F.pmod(h, F.nullif(bits, F.lit(0))) for h in hashes(key))
-    found = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.pmod(one + i * two, bits))
+    some = F.nullif(bits, F.lit(0))
+    one, two = F.pmod(one, some), F.pmod(two, some)
+    # an array of expressions is compiled, a function over a sequence is not
+    found = F.array(*[F.pmod(one + i * two, some) for i in range(k)])
     return F.when(bits > 0, found).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -51,19 +59,48 @@ def build(keys: DataFrame, by: str = "segment_id", key: str = "key", hashes=fast
     A filter is a set of rows and not an array, so that no filter has to fit in
     one row or task.
     """
-    distinct = keys.select(by, key).distinct()
+    one, two = hashes(F.col(key))
+    # hashes go through the aggregate, or the optimizer would put them into the expression of each position
+    distinct = keys.select(by, key, one.alias("_one"), two.alias("_two")).distinct()
     sizes = distinct.groupBy(by).agg(size_of(F.count(F.lit(1)), bits_per_key).alias("bit_count"))
     sized = distinct.join(sizes, by)
-    return sized.select(by, "bit_count", F.explode(positions(F.col(key), F.col("bit_count"), hashes)).alias("position")).distinct()
+    return sized.select(by, "bit_count", F.explode(positions(F.col("_one"), F.col("_two"), F.col("bit_count"))).alias("position")).distinct()
+
+
+def bitmaps(bits: DataFrame, by: str = "segment_id") -> DataFrame:
+    """(by, block, words): filters as bitmaps, a row for each ``BLOCK`` bits, a word for each 64; rows have a bounded size."""
+    one = F.expr("shiftleft(1L, CAST(position % 64 AS INT))")
+    set_bits = bits.select(by, F.floor(F.col("position") / 64).alias("word"), one.alias("bits"))
+    words = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("bit_count") - 1) / 64)))
+    every = bits.select(by, "bit_count").distinct().select(by, words.alias("word"), F.lit(0).cast("long").alias("bits"))
+    filled = set_bits.unionByName(every).groupBy(by, "word").agg(F.bit_or("bits").alias("bits"))
+    block = F.floor(F.col("word") / (BLOCK // 64)).alias("block")
+    return filled.groupBy(by, block).agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("words"))
 
 
-def probe(bits: DataFrame, sizes: DataFrame, keys: DataFrame, by: str = "segment_id", key: str = "key", hashes=fast_hashes) -> DataFrame:
-    """(by, key, may_contain) for all filters and probe keys; an empty filter may contain anything.
+def probe(maps: DataFrame, asked: DataFrame, by: str = "segment_id", key: str = "key") -> DataFrame:
+    """(by, key, may_contain) of the pairs ``asked`` (by, key, bit_count, _one, _two), which have their key's hashes; an empty filter may contain anything.
 
-    ``sizes`` has (by, bit_count) per filter, a few rows, and is dealt to the
-    probe keys; positions are then looked up by an equi-join and counted.
+    A pair meets the blocks of its filter that its positions lie in by an
+    equi-join, and tests all its bits there; one small filter is one block.
     """
-    asked = keys.select(key).distinct().join(F.broadcast(sizes.select(by, "bit_count")), how="cross")
-    wanted = asked.select(by, key, F.explode_outer(F.array_distinct(positions(F.col(key), F.col("bit_count"), hashes))).alias("position"))
-    hit = wanted.join(bits.select(by, "position", F.lit(1).alias("hit")), [by, "position"], "left")
-    return hit.groupBy(by, key).agg((F.sum(F.when(F.col("position").isNotNull() & F.col("hit").isNull(), 1).otherwise(0)) == 0).alias("may_contain"))
+    wanted = asked.select(by, key, positions(F.col("_one"), F.col("_two"), F.col("bit_count")).alias("_found"))
+    block_of = lambda p: F.shiftright(p, _BLOCK_BITS)
+    place = [F.get("_found", F.lit(i)) for i in range(HASHES)]
+    placed = wanted.withColumn("block", F.explode_outer(F.when(F.size("_found") > 0, F.array_distinct(F.array(*map(block_of, place))))))
+    met = placed.join(maps, [by, "block"], "left")
+    held = F.col("words").isNull()
+    bits = F.lit(True)
+    for p in place:
+        word = F.get("words", F.shiftright(p.bitwiseAND(BLOCK - 1), 6).cast("int"))
+        bits &= (block_of(p) != F.col("block")) | (F.call_function("getbit", word, p.bitwiseAND(63).cast("int")) == 1)
+    held |= F.coalesce(bits, F.lit(True))
+    return met.groupBy(by, key).agg(F.bool_and(held).alias("may_contain"))
+
+
+def all_pairs(keys: DataFrame, sizes: list[tuple[int, int]], by: str = "segment_id", key: str = "key", hashes=fast_hashes) -> DataFrame:
+    """What ``probe`` asks: every distinct key for every filter of ``sizes`` (by, bit_count), which is a manifest's list of segments."""
+    one, two = hashes(F.col(key))
+    listed = F.from_json(F.lit(json.dumps([{"i": i, "n": n} for i, n in sizes])), "array<struct<i:bigint,n:bigint>>")
+    pairs = keys.select(key, one.alias("_one"), two.alias("_two")).distinct().withColumn("_f", F.explode(listed))
+    return pairs.select(F.col("_f.i").alias(by), key, F.col("_f.n").alias("bit_count"), "_one", "_two")

@@ -19,6 +19,14 @@ get <key>            (alias: g)
 delete <key>         (alias: d, del)
 quit                 (alias: q, exit)"""
 
+#: Fixed value: the width of the rule around the banner.
+RULE_WIDTH = 36
+
+
+def rule(width: int = RULE_WIDTH) -> Column:
+    """A horizontal rule."""
+    return F.repeat(F.lit("-"), F.lit(width))
+
 
 def words_of(line: Column) -> Column:
     """The words of a line, without empty ones; a null line has none."""

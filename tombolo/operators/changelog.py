@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SET, DELETE = "set", "delete"
+#: Bytes of an encoded entry beside its strings, one tag and a length per string.
+TAG_BYTES, LENGTH_BYTES = 4, 8
 
 
 def latest(changes: DataFrame, *extra: str) -> DataFrame:
@@ -64,8 +66,9 @@ def as_of(changes: DataFrame, seq: int) -> DataFrame:
 
 
 def entry_size() -> Column:
-    """Tracked bytes of a change: its key twice, once as the key of the table, and its value."""
-    return (2 * F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))).cast("long")
+    """Tracked bytes of a change: its key as the key of the table, and the encoded entry, which holds the key again and the value of a ``set``."""
+    value = F.coalesce(LENGTH_BYTES + F.octet_length("value"), F.lit(0))
+    return (TAG_BYTES + LENGTH_BYTES + 2 * F.octet_length("key") + value).cast("long")
 
 
 def stats(changes: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tombolo.operators.changelog import DELETE, SET, latest
+from tombolo.operators.changelog import DELETE, SET, entry_size, latest
 
 #: Tracked bytes beyond which a memtable is flushed, and flushes after which all segments are merged.
 FLUSH_BYTES, COMPACT_EVERY = 4 << 20, 10
@@ -69,17 +69,18 @@ def shadowed(segments: DataFrame) -> DataFrame:
     return segments.join(newest, "key").filter("segment_id < newest").select("segment_id", "key", "seq")
 
 
-def flush_points(changes: DataFrame, threshold: int = FLUSH_BYTES, shards: int = 1) -> DataFrame:
+def flush_points(changes: DataFrame, threshold: int = FLUSH_BYTES, shards: int = 1, spread: Column | None = None) -> DataFrame:
     """(shard, flush_no, seq, tracked_bytes): where memtables that hold more than ``threshold`` bytes are flushed.
 
     The size counts every key once, with its present value, and starts anew
     after a flush, so that it depends on where the last flush was and has to be
-    followed in order. Keys are dealt to shards with a memtable each, which run
-    side by side; one shard is one memtable for all. The rows of a shard stream
+    followed in order. Keys are dealt to shards by ``spread``, a number made from
+    the key, with a memtable each, which run side by side; one shard is one
+    memtable for all. The rows of a shard stream
     through in order, and a task holds no more than one memtable.
     """
-    size = (2 * F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))).cast("long")
-    rows = changes.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "seq", "key", size.alias("size"))
+    number = F.xxhash64("key") if spread is None else spread
+    rows = changes.select(F.pmod(number, F.lit(shards)).cast("int").alias("shard"), "seq", "key", entry_size().alias("size"))
 
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, sizes, total, number = None, {}, 0, 0

@@ -31,6 +31,10 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines_of(table(spark, sf_dir, "events"))
+
+
+def lines_of(events: DataFrame) -> DataFrame:
     """(session, seq, line): the commands as typed, in several spellings, with faulty and padded lines and a few quits."""
     verb = lambda *names: F.element_at(F.array(*map(F.lit, names)), (F.col("seq") % 3 + 1).cast("int"))
     good = (
@@ -43,7 +47,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("seq") % 1231 == 7, "quit now").when(n == 0, "").when(n == 1, "frobnicate x").when(n == 2, "set onlykey").when(n == 3, "get a b").when(n == 4, "help")
         .when(n == 5, F.concat(F.lit("\t  "), good, F.lit("　 "))).otherwise(good)
     )
-    return commands(spark, sf_dir).select("session", "seq", line.alias("line"))
+    return commands_of(events).select("session", "seq", line.alias("line"))
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:

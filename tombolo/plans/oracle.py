@@ -11,6 +11,8 @@ _COMMANDS = """cmd AS (SELECT (user_id % 8)::VARCHAR AS session, event_id AS seq
 _CHANGES = _COMMANDS + ", c AS (SELECT seq, op, key, value FROM cmd WHERE op <> 'get')"
 _LATEST = _CHANGES + ", l AS (SELECT key, max(seq) AS seq, arg_max(op, seq) AS op, max_by(coalesce(value, ''), seq) AS v FROM c GROUP BY key), latest AS (SELECT key, seq, op, CASE WHEN op = 'set' THEN v END AS value FROM l)"
 _LIVE = _LATEST + ", live AS (SELECT key, value FROM latest WHERE op = 'set')"
+#: Bytes of an entry: tag and lengths, the key twice, the value of a set.
+_SIZE = "(12 + 2 * strlen(key) + coalesce(8 + strlen(value), 0))"
 _PROBES = ", p AS (SELECT DISTINCT 'user-' || c_custkey AS key FROM customer)"
 _REPLY = """CASE WHEN error IS NOT NULL THEN 'Error: ' || error WHEN op = 'set' THEN key || ' => ' || value WHEN op = 'help' THEN '""" + HELP_TEXT + """'
   WHEN op = 'get' THEN coalesce(key || ' => ' || found, key || ' not found')
@@ -56,8 +58,8 @@ SQL = {
     "kv_range_scan": f"WITH {_LIVE} SELECT key, value FROM live WHERE key BETWEEN 'user-1' AND 'user-5' ORDER BY key",
     "kv_as_of": f"WITH {_CHANGES}, h AS (SELECT key, arg_max(op, seq) AS op, arg_max(coalesce(value, ''), seq) AS value FROM c WHERE seq <= 500 GROUP BY key) SELECT key, value FROM h WHERE op = 'set'",
     "kv_stats": f"""WITH {_LATEST} SELECT (SELECT count(*) FROM c) AS n_changes, count(*) AS n_keys, count(*) FILTER (op = 'set') AS n_live, count(*) FILTER (op = 'delete') AS n_tombstones,
-      coalesce(sum(2 * strlen(key) + coalesce(strlen(value), 0)), 0)::BIGINT AS tracked_bytes, count(*) = 0 AS is_empty FROM latest""",
-    "kv_memtable_size": f"WITH {_LATEST} SELECT op, sum(2 * strlen(key) + coalesce(strlen(value), 0))::BIGINT AS tracked_bytes, count(*) AS n_keys FROM latest GROUP BY op",
+      coalesce(sum({_SIZE}), 0)::BIGINT AS tracked_bytes, count(*) = 0 AS is_empty FROM latest""",
+    "kv_memtable_size": f"WITH {_LATEST} SELECT op, sum({_SIZE})::BIGINT AS tracked_bytes, count(*) AS n_keys FROM latest GROUP BY op",
     "kv_wal_replay_idempotent": f"WITH {_LATEST} SELECT key, seq, op, value FROM latest",
     "kv_parse": f"WITH {_LINES} SELECT seq, op, key, value, error FROM parsed",
     "kv_replay": _REPLAY,
@@ -72,12 +74,38 @@ SQL = {
     "kv_compact_stats": f"""WITH {_SEGMENTS}, w AS (SELECT key, count(*) AS n, arg_max(op, seq) AS op FROM s GROUP BY key)
       SELECT (SELECT count(DISTINCT segment_id) FROM s) AS segments_in, sum(n)::BIGINT AS rows_in, count(*) FILTER (op = 'set') AS rows_out, sum(n - 1)::BIGINT AS versions_dropped, count(*) FILTER (op = 'delete') AS tombstones_dropped FROM w""",
     "kv_shadowed_versions": f"WITH {_SEGMENTS} SELECT segment_id, key, seq FROM s WHERE EXISTS (SELECT 1 FROM s n WHERE n.key = s.key AND n.segment_id > s.segment_id)",
+    "kv_flush_points": f"""WITH RECURSIVE {_CHANGES}, z AS (SELECT (('0x' || substr(md5(key), 1, 8))::BIGINT % 8)::INTEGER AS shard, seq, key, {_SIZE}::BIGINT AS size FROM c),
+      r AS (SELECT *, lag(seq) OVER w AS prev, lag(size) OVER w AS old FROM z WINDOW w AS (PARTITION BY key ORDER BY seq)),
+      f AS (SELECT DISTINCT shard, 0::BIGINT AS flush_no, (-1)::BIGINT AS seq, 0::BIGINT AS tracked_bytes FROM r
+        UNION ALL SELECT shard, flush_no + 1, min(seq), arg_min(total, seq)::BIGINT FROM (
+          SELECT f.shard, f.flush_no, r.seq, sum(CASE WHEN prev > f.seq THEN size - old ELSE size END) OVER (PARTITION BY f.shard ORDER BY r.seq) AS total
+          FROM f JOIN r ON r.shard = f.shard AND r.seq > f.seq) WHERE total > 1000 GROUP BY shard, flush_no)
+      SELECT * FROM f WHERE flush_no > 0""",
+    "kv_filter_sizes": f"WITH {_BITS} SELECT segment_id, bit_count, ceil(bit_count / 8)::BIGINT AS bytes FROM z",
+    "kv_bloom_rates": "SELECT 0::BIGINT AS false_negatives, true AS few_false_positives",
     "kv_bloom_bits": f"WITH {_BITS} SELECT DISTINCT segment_id, bit_count, unnest({_POSITIONS}) AS position FROM s JOIN z USING (segment_id)",
     "kv_bloom_probe": f"""WITH {_BITS}{_PROBES}, b AS (SELECT segment_id, list(DISTINCT position) AS bits FROM (SELECT segment_id, unnest({_POSITIONS}) AS position FROM s JOIN z USING (segment_id)) GROUP BY segment_id)
       SELECT segment_id, key, list_has_all(bits, {_POSITIONS}) AS may_contain FROM p CROSS JOIN (SELECT * FROM z JOIN b USING (segment_id))""",
     "kv_checksum_recovery": f"WITH {_CHANGES}, h AS (SELECT key, arg_max(op, seq) AS op, arg_max(coalesce(value, ''), seq) AS value FROM c WHERE seq % 97 <> 13 GROUP BY key) SELECT key, value FROM h WHERE op = 'set'",
     "kv_frames_roundtrip": f"WITH {_CHANGES} SELECT (seq // {SEGMENT_ROWS})::VARCHAR AS path, op, key, value FROM c WHERE seq % 97 <> 13",
+    "kv_frames_status": f"""WITH {_CHANGES}, p AS (SELECT (seq // {SEGMENT_ROWS})::VARCHAR AS path, seq, max(seq) OVER (PARTITION BY seq // {SEGMENT_ROWS}) AS last FROM c),
+      s AS (SELECT path, seq, CASE WHEN seq = last THEN 'not_enough_bytes' WHEN seq % 97 = 13 THEN 'checksum_mismatch' ELSE 'ok' END AS status FROM p),
+      q AS (SELECT *, lag(status, 1, 'ok') OVER (PARTITION BY path ORDER BY seq) AS before FROM s)
+      SELECT path, status, count(*) AS n FROM q WHERE status = 'ok' OR before = 'ok' GROUP BY path, status""",
+    "kv_frames_non_empty": f"""WITH {_CHANGES}, p AS (SELECT (seq // {SEGMENT_ROWS})::VARCHAR AS path, bool_or(seq % 97 <> 13) AS "any" FROM c GROUP BY 1)
+      SELECT path, "any" FROM p UNION ALL SELECT 'torn-' || path, false FROM p""",
+    "kv_help": f"SELECT repeat('-', 36) AS rule, '{HELP_TEXT}' AS help",
     "kv_stream_replay": _REPLAY,
+    "kv_stream_restart": _REPLAY,
+    "kv_stream_into_store": f"""WITH {_LINES}, e AS (SELECT session, min(seq) AS stop FROM parsed WHERE op = 'quit' GROUP BY session),
+      k AS (SELECT parsed.* FROM parsed LEFT JOIN e USING (session) WHERE (stop IS NULL OR seq < stop) AND op IN ('set', 'delete')),
+      h AS (SELECT key, arg_max(op, seq) AS op, arg_max(coalesce(value, ''), seq) AS value FROM k GROUP BY key) SELECT key, value FROM h WHERE op = 'set'""",
+    "kv_store_truncated": f"WITH {_LIVE} SELECT * FROM live",
+    "kv_store_maybe_flush": f"""WITH {_LATEST}, t AS (SELECT sum({_SIZE})::BIGINT AS n FROM latest), m AS (SELECT unnest([1000, 4194304]::BIGINT[]) AS flush_bytes)
+      SELECT flush_bytes, n > flush_bytes AS flushed, (n > flush_bytes)::BIGINT AS segments, CASE WHEN n > flush_bytes THEN 0 ELSE n END AS wal_bytes FROM t, m""",
+    "kv_store_tenth_flush": f"""WITH {_CHANGES}, p AS (SELECT *, (seq // 100) % 10 AS part FROM c), n AS (SELECT unnest(range(1, 11)) AS flush_no),
+      h AS (SELECT flush_no, key, arg_max(op, part * 1000000000 + seq) AS op FROM n JOIN p ON part < flush_no GROUP BY ALL)
+      SELECT flush_no, CASE WHEN flush_no = 10 THEN 1 ELSE flush_no END AS segments, count(*) FILTER (op = 'set') AS n_live FROM h GROUP BY flush_no""",
     "kv_store_script": f"WITH {_STORE} SELECT key, value FROM w WHERE op = 'set'",
     "kv_orders_live": "WITH h AS (SELECT o_custkey::VARCHAR AS key, arg_max(o_orderstatus, o_orderkey) AS st, arg_max(o_orderpriority, o_orderkey) AS value FROM orders GROUP BY ALL) SELECT key, value FROM h WHERE st <> 'P'",
     "kv_conversations_latest": "SELECT conv_id::VARCHAR AS key, max(turn) AS seq, 'set' AS op, arg_max(role, turn) AS value FROM conversations GROUP BY ALL",

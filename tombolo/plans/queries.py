@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tombolo.functions import bloom
-from tombolo.functions.commands import parsed, reply
+from tombolo.functions.commands import HELP_TEXT, parsed, reply, rule
 from tombolo.operators import changelog, replay, segments
 from tombolo.plans import inputs
 from tombolo.sources import frames
@@ -120,7 +120,7 @@ def kv_shadowed_versions(spark, sf_dir):
 
 
 def kv_flush_points(spark, sf_dir):
-    return segments.flush_points(inputs.changes(spark, sf_dir), 1000, 8)
+    return segments.flush_points(inputs.changes(spark, sf_dir), 1000, 8, bloom.portable_hashes(F.col("key"))[0])
 
 
 def _bits(spark, sf_dir):
@@ -131,10 +131,28 @@ def kv_bloom_bits(spark, sf_dir):
     return _bits(spark, sf_dir)
 
 
+def _sizes(spark, sf_dir):
+    return _segments(spark, sf_dir).groupBy("segment_id").agg(bloom.size_of(F.count(F.lit(1))).alias("bit_count"))
+
+
+def kv_filter_sizes(spark, sf_dir):
+    return _sizes(spark, sf_dir).withColumn("bytes", bloom.byte_size(F.col("bit_count")))
+
+
 def kv_bloom_probe(spark, sf_dir):
-    bits = _bits(spark, sf_dir)
-    sizes = _segments(spark, sf_dir).groupBy("segment_id").agg(bloom.size_of(F.count(F.lit(1))).alias("bit_count"))
-    return bloom.probe(bits, sizes, inputs.probes(spark, sf_dir), hashes=bloom.portable_hashes)
+    sizes = [tuple(r) for r in _sizes(spark, sf_dir).collect()]  # a store has them in its manifest
+    asked = bloom.all_pairs(inputs.probes(spark, sf_dir), sizes, hashes=bloom.portable_hashes)
+    return bloom.probe(bloom.bitmaps(_bits(spark, sf_dir)), asked)
+
+
+def kv_bloom_rates(spark, sf_dir):
+    """One row: keys in the filter of all users that it denies, and whether it takes few of the other probes for users."""
+    keys = inputs.changes(spark, sf_dir).select(F.lit(0).cast("long").alias("segment_id"), "key").distinct()
+    asked = bloom.all_pairs(inputs.probes(spark, sf_dir).union(keys.select("key")), [(0, keys.count() * bloom.BITS_PER_KEY)])
+    found = bloom.probe(bloom.bitmaps(bloom.build(keys)), asked).join(keys.withColumn("there", F.lit(True)), ["segment_id", "key"], "left")
+    wrong = F.count(F.when(F.col("there") & ~F.col("may_contain"), 1))
+    taken, absent = F.count(F.when(F.col("there").isNull() & F.col("may_contain"), 1)), F.count(F.when(F.col("there").isNull(), 1))
+    return found.agg(wrong.alias("false_negatives"), (taken <= 0.03 * absent).alias("few_false_positives"))
 
 
 def kv_checksum_recovery(spark, sf_dir):
@@ -143,24 +161,67 @@ def kv_checksum_recovery(spark, sf_dir):
     return changelog.live(stored.filter(F.col("checksum") == F.md5(payload.cast("binary"))))
 
 
-def kv_frames_roundtrip(spark, sf_dir):
-    """Frames in files of a bounded number of changes, every 97th with a byte of its payload damaged, and what is read back."""
+def _files(spark, sf_dir, torn=0):
+    """(path, content): frames in files of a bounded number of changes, every 97th with a byte of its payload damaged, the last bytes of each file torn off."""
     framed = frames.encoded(inputs.changes(spark, sf_dir))
     broken = F.expr("overlay(frame PLACING X'58' FROM 12 FOR 1)")
     damaged = framed.withColumn("frame", F.when(F.col("seq") % 97 == 13, broken).otherwise(F.col("frame")))
     grouped = damaged.groupBy(F.floor(F.col("seq") / inputs.SEGMENT_ROWS).cast("string").alias("path")).agg(F.array_sort(F.collect_list(F.struct("seq", "frame"))).alias("all"))
-    files = grouped.select("path", F.expr("unhex(array_join(transform(all, x -> hex(x.frame)), ''))").alias("content"))
-    return frames.read(files).select("path", "op", "key", "value")
+    whole = grouped.select("path", F.expr("unhex(array_join(transform(all, x -> hex(x.frame)), ''))").alias("content"))
+    return whole.select("path", F.expr(f"substring(content, 1, octet_length(content) - {torn})").alias("content"))
 
 
-def kv_stream_replay(spark, sf_dir):
+def kv_frames_roundtrip(spark, sf_dir):
+    """What is read back of files with damaged frames."""
+    return frames.read(_files(spark, sf_dir)).select("path", "op", "key", "value")
+
+
+def kv_frames_status(spark, sf_dir):
+    """(path, status, n): whole frames, and places where reading broke off, in files whose last frame is torn."""
+    return frames.read(_files(spark, sf_dir, 3), report=True).groupBy("path", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def kv_frames_non_empty(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    torn = files.select(F.concat(F.lit("torn-"), "path").alias("path"), F.expr("substring(content, 1, 20)").alias("content"))
+    return frames.non_empty(files.union(torn))
+
+
+def kv_help(spark, sf_dir):
+    return spark.range(1).select(rule().alias("rule"), F.lit(HELP_TEXT).alias("help"))
+
+
+def _event_stream(spark, sf_dir):
     schema = inputs.table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def kv_stream_replay(spark, sf_dir):
     out = shared_folder(spark, "stream")
-    streams.run_available(streams.replayed(inputs.commands_of(events)), f"{out}/replies", f"{out}/checkpoint")
+    streams.run_available(streams.replayed(inputs.commands_of(_event_stream(spark, sf_dir))), f"{out}/replies", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/replies").select("seq", "response")
 
 
+def kv_stream_restart(spark, sf_dir):
+    """The same in two runs, the second of which starts with the state that the first has left."""
+    out, events = shared_folder(spark, "stream"), inputs.table(spark, sf_dir, "events")
+    middle = events.agg(F.avg("event_id")).first()[0]
+    for part in (F.col("event_id") <= middle, F.col("event_id") > middle):
+        events.filter(part).write.mode("append").parquet(f"{out}/events")
+        stream = spark.readStream.schema(events.schema).parquet(f"{out}/events")
+        streams.run_available(streams.replayed(inputs.commands_of(stream)), f"{out}/replies", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/replies").select("seq", "response")
+
+
+def kv_stream_into_store(spark, sf_dir):
+    """A stream of lines executed on a store, and what is visible then."""
+    out = shared_folder(spark, "stream")
+    store = Store(spark, f"{out}/store")
+    streams.into_store(inputs.lines_of(_event_stream(spark, sf_dir)), store, f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    store.refresh()
+    return store.live()
+
+
 def kv_store_script(spark, sf_dir):
     """The script run on a store in three parts, with a flush after each and a merge; what is visible then.
 
@@ -175,6 +236,36 @@ def kv_store_script(spark, sf_dir):
     return store.live()
 
 
+def kv_store_truncated(spark, sf_dir):
+    """Users are flushed, orders stay in the log, which opening the store anew with ``truncate`` drops; what is visible then."""
+    path = shared_folder(spark, "store")
+    store = Store(spark, path)
+    store.append(inputs.changes(spark, sf_dir))
+    store.flush()
+    store.append(inputs.orders(spark, sf_dir))
+    return Store(spark, path, truncate=True).live()
+
+
+def kv_store_maybe_flush(spark, sf_dir):
+    """(flush_bytes, flushed, segments, wal_bytes): all changes appended to stores of a small memtable and of the usual one."""
+    rows = []
+    for most in (1000, segments.FLUSH_BYTES):
+        store = Store(spark, shared_folder(spark, "store"), flush_bytes=most)
+        store.append(inputs.changes(spark, sf_dir))
+        rows.append((most, store.maybe_flush(), len(store.manifest.segments), store.tracked_bytes()))
+    return spark.createDataFrame(rows, "flush_bytes long, flushed boolean, segments long, wal_bytes long")
+
+
+def kv_store_tenth_flush(spark, sf_dir):
+    """(flush_no, segments, n_live) after each of ten flushes with a tenth of the changes; the tenth merges all segments."""
+    store, rows, changes = Store(spark, shared_folder(spark, "store")), [], inputs.changes(spark, sf_dir)
+    for part in range(10):
+        store.append(changes.filter(F.floor(F.col("seq") / 100) % 10 == part))
+        store.flush()
+        rows.append((store.manifest.flush_no, len(store.manifest.segments), store.live().count()))
+    return spark.createDataFrame(rows, "flush_no long, segments long, n_live long")
+
+
 def kv_orders_live(spark, sf_dir):
     return changelog.live(inputs.orders(spark, sf_dir))
 

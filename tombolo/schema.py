@@ -3,8 +3,7 @@
 #: ``seq`` is unique and gives the total order; ``value`` is null for a tombstone alone.
 CHANGE = "seq long, op string, key string, value string"
 SEGMENT = "segment_id long, seq long, op string, key string, value string"
-COMMAND = "session string, seq long, line string, op string, key string, value string, error string"
-FRAME = "offset long, status string, payload binary"
+LINE = "session string, seq long, line string"
 
 #: The verbs of each command, the error texts and the help text.
 VERBS = {

@@ -78,6 +78,11 @@ def scan(content: bytes, report: bool = False) -> Iterator[tuple[int, str, bytes
             return
 
 
+def has_at_least_one(content: bytes) -> bool:
+    """Does a whole frame stand anywhere in ``content``?"""
+    return next(scan(content), None) is not None
+
+
 def encoded(changes: DataFrame) -> DataFrame:
     """Adds ``frame``, the bytes of each change, made by SQL functions alone."""
     payload = F.to_json(F.struct("op", "key", F.when(F.col("op") == "set", F.col("value")).alias("value"))).cast("binary")
@@ -110,6 +115,19 @@ def read(files: DataFrame, content: str = "content", report: bool = False) -> Da
     return files.select("path", F.col(content)).mapInArrow(decode, "path string, offset long, status string, op string, key string, value string")
 
 
+def non_empty(files: DataFrame, content: str = "content") -> DataFrame:
+    """(path, any): does a file of (path, content) hold a whole frame?"""
+
+    def test(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [has_at_least_one(data or b"") for data in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.bool_())], ["path", "any"])
+
+    return files.select("path", F.col(content)).mapInArrow(test, "path string, any boolean")
+
+
 def read_logs(spark, path: str, report: bool = False) -> DataFrame:
     """The frames of all files below a path."""
     return read(spark.read.format("binaryFile").load(path), report=report)

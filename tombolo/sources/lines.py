@@ -30,5 +30,9 @@ def from_file(spark: SparkSession, path: str, session: str = "local") -> DataFra
 
 
 def from_socket(spark: SparkSession, host: str, port: int) -> DataFrame:
-    """A stream (line, timestamp) from a socket; for tests and demonstrations, as Spark's socket source cannot be replayed."""
+    """A stream (line, timestamp) from a socket of raw lines; for tests and demonstrations, as Spark's socket source cannot be replayed.
+
+    It has no order inside a millisecond; ``server`` takes sessions and gives
+    their lines an order.
+    """
     return spark.readStream.format("socket").option("host", host).option("port", port).option("includeTimestamp", True).load().withColumnRenamed("value", "line")

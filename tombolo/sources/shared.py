@@ -9,9 +9,22 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; only where a session names no such folder, as in tests, a local one is set."""
+    """A new path below ``spark.checkpoint.dir``, which goes when the session's process ends.
+
+    Only on one machine, as in tests, a session may name no such folder; a local
+    one is taken then.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else Path("/tmp/checkpoints").as_uri()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        root = held.get() if held.isDefined() else None
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        root = Path("/tmp/checkpoints").as_uri()
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return path

@@ -4,13 +4,15 @@ The manifest names every folder that counts. A commit writes its folders first
 and then publishes the next manifest under a name of its own, which fails if
 that name is taken; so a crash leaves the version before, and of two writers
 one has to read the store again. Segment ids come from the manifest and not
-from a clock. Folders that no manifest names are never read and never deleted
-by a merge. All paths go through Hadoop's file systems.
+from a clock. Folders that no manifest names are never read. A merge deletes
+nothing, as views of older versions may still be read; ``vacuum`` does, after a
+time of grace. All paths go through Hadoop's file systems.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import asdict, dataclass, field, replace
 
@@ -33,6 +35,8 @@ class Manifest:
     next_segment: int = 0
     wal: tuple[str, ...] = ()
     segments: tuple[tuple[int, str], ...] = field(default=())
+    #: the last batch of each stream whose changes are in the store
+    batches: tuple[tuple[str, int], ...] = field(default=())
 
 
 class Store:
@@ -65,7 +69,7 @@ class Store:
         finally:
             stream.close()
         d = json.loads(text)
-        return Manifest(**d | {"wal": tuple(d["wal"]), "segments": tuple((i, p) for i, p in d["segments"])})
+        return Manifest(**d | {"wal": tuple(d["wal"]), "segments": tuple((i, p) for i, p in d["segments"]), "batches": tuple((n, i) for n, i in d["batches"])})
 
     def _commit(self, new: Manifest) -> None:
         """Publish ``new`` as the next version; fails if that version exists."""
@@ -145,17 +149,25 @@ class Store:
 
     # -- writing ------------------------------------------------------------------
 
-    def append(self, changes: DataFrame) -> None:
-        """Append changes (seq, op, key, value), whose ``seq`` orders them; they get numbers after all that are stored."""
+    def append(self, changes: DataFrame, batch: tuple[str, int] | None = None) -> None:
+        """Append changes (seq, op, key, value), whose ``seq`` orders them; they get numbers after all that are stored.
+
+        ``batch``, a stream's name and the number of its batch, is recorded by
+        the commit that publishes the changes.
+        """
         base, folder = self.manifest.next_seq, self._folder("wal")
         checked = changes.select((F.col("seq") + F.lit(base)).alias("seq"), "op", "key", F.when(F.col("op") == changelog.SET, F.col("value")).alias("value"))
         checked.write.parquet(f"{self.path}/{folder}")
         written = self.spark.read.schema(CHANGE).parquet(f"{self.path}/{folder}").agg(F.max("seq").alias("last"), F.min("seq").alias("first")).first()
-        if written["last"] is None:
-            return
-        if written["first"] < base:
-            raise ValueError("seq must not be negative")
-        self._commit(replace(self.manifest, wal=(*self.manifest.wal, folder), next_seq=written["last"] + 1))
+        new = self.manifest
+        if batch:
+            new = replace(new, batches=(*[b for b in new.batches if b[0] != batch[0]], batch))
+        if written["last"] is not None:
+            if written["first"] < base:
+                raise ValueError("seq must not be negative")
+            new = replace(new, wal=(*new.wal, folder), next_seq=written["last"] + 1)
+        if new != self.manifest:
+            self._commit(new)
 
     def write(self, *entries: tuple) -> None:
         """Append entries at hand: ("set", key, value) or ("delete", key), the latter also for keys that are absent."""
@@ -171,15 +183,20 @@ class Store:
             self.write((changelog.DELETE, key))
         return found
 
-    def execute(self, lines: DataFrame) -> DataFrame:
-        """Run a script (session, seq, line) and return its replies, which exist only once its changes are committed."""
-        replies = replay.run_script(lines, self.live())
-        folder = self._folder("replies")
-        replies.write.parquet(f"{self.path}/{folder}")
-        kept = self.spark.read.schema(replies.schema).parquet(f"{self.path}/{folder}")
-        self.append(replay.effects(kept))
-        self.maybe_flush()
-        return kept
+    def execute(self, lines: DataFrame, batch: tuple[str, int] | None = None) -> DataFrame:
+        """Run a script (session, seq, line) and return its replies, which exist only once its changes are committed.
+
+        A ``batch`` of a stream that the store has already is not run again: its
+        replies are read back. Replies of a run that was not committed are
+        overwritten.
+        """
+        folder = f"replies/{batch[0]}-{batch[1]:020d}" if batch else self._folder("replies")
+        schema = replay.run_script(lines, self.live()).schema
+        if not (batch and dict(self.manifest.batches).get(batch[0], -1) >= batch[1]):
+            replay.run_script(lines, self.live()).write.mode("overwrite").parquet(f"{self.path}/{folder}")
+            self.append(replay.effects(self.spark.read.schema(schema).parquet(f"{self.path}/{folder}")), batch)
+            self.maybe_flush()
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{folder}")
 
     # -- flush and compaction -------------------------------------------------------
 
@@ -207,7 +224,7 @@ class Store:
         return big
 
     def compact(self) -> None:
-        """All segments become one, without tombstones; the log stays. The old folders go after the commit."""
+        """All segments become one, without tombstones; the log stays."""
         old = self.manifest.segments
         if not old:
             return
@@ -216,5 +233,21 @@ class Store:
         empty = self.spark.read.schema(CHANGE).parquet(f"{self.path}/{folder}").isEmpty()
         kept = () if empty else ((self.manifest.next_segment, folder),)
         self._commit(replace(self.manifest, segments=kept, next_segment=self.manifest.next_segment + 1))
-        for _, p in old:
-            self._fs.delete(self._at(p), True)
+
+    def vacuum(self, grace_seconds: float = 24 * 3600) -> list[str]:
+        """Delete the folders that the newest manifest does not name and that are older than the grace period; returns their names.
+
+        The period has to be longer than any reader keeps a view and any writer
+        takes for its commit.
+        """
+        self.refresh()
+        named = {*self.manifest.wal, *[p for _, p in self.manifest.segments]}
+        limit, gone = (time.time() - grace_seconds) * 1000, []
+        for kind in ("wal", "segments"):
+            if self._fs.exists(self._at(kind)):
+                for status in self._fs.listStatus(self._at(kind)):
+                    name = f"{kind}/{status.getPath().getName()}"
+                    if name not in named and status.getModificationTime() <= limit:
+                        self._fs.delete(status.getPath(), True)
+                        gone.append(name)
+        return gone

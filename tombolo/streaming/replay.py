@@ -50,11 +50,11 @@ def run_available(replies: DataFrame, out: str, checkpoint: str) -> None:
     replies.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def into_store(commands: DataFrame, store, checkpoint: str):
-    """A stream of lines (session, seq, line) executed on a store, one micro-batch at a time; returns the query.
+def into_store(lines: DataFrame, store, checkpoint: str, name: str = "stream"):
+    """A stream of lines (session, seq, line) executed on a store, one micro-batch at a time; returns the writer to start.
 
-    The store's version at the end of each batch is kept in its checkpointed
-    order, and a batch that is run once more after a crash appends the same
-    changes, which leaves every key as it was.
+    The store's manifest records the number of the last batch of stream
+    ``name`` in the commit that publishes its changes, so a batch that is run
+    once more after a crash changes nothing and gives the same replies.
     """
-    return commands.writeStream.foreachBatch(lambda batch, _: store.execute(batch) and None).option("checkpointLocation", checkpoint)
+    return lines.writeStream.foreachBatch(lambda batch, number: store.execute(batch, (name, number)) and None).option("checkpointLocation", checkpoint)
