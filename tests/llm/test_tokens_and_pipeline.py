@@ -33,6 +33,29 @@ def test_bpe_equals_the_library(spark):
             assert r["decoded"] == t.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_takes_every_code_point_and_combining_marks_as_the_library_does():
+    t, coder, rng = Tokenizer.from_file(WORD), bpe.WordBPE(WORD), random.Random(8)
+
+    def words(text):
+        text = t.normalizer.normalize_str(text)
+        return [text[a:b] for _, (a, b) in t.pre_tokenizer.pre_tokenize_str(text)]
+
+    # planes that Unicode has given letters to so far, one code point at a time, and a sample of all others
+    for c in [*range(0xD800), *range(0xE000, 0x20000), *range(0x20000, 0x110000, 97)]:
+        assert coder.words(f"a{chr(c)}b {chr(c)}") == words(f"a{chr(c)}b {chr(c)}"), hex(c)
+    marks = [*range(0x300, 0x370), *range(0x610, 0x61B), *range(0x6D6, 0x6EE), *range(0x890, 0x900), *range(0x1100, 0x1200), 0x93C, 0x9BE, 0x9D7, 0x110BA, 0x16D67, 0x3099]
+    texts = ["".join(chr(rng.choice(marks) if rng.random() < 0.5 else rng.choice((97, 101, 0xE9, 0x415, 0x627, 0xAC00, 0x995, 0x212A, 0x3A3, 32, 33))) for _ in range(12)) for _ in range(20_000)]
+    for text, got, ids in zip(texts, coder.encode(texts), t.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert got == (" ".join(map(str, ids.ids)), t.decode(ids.ids, skip_special_tokens=False)), ascii(text)
+
+
+def test_bpe_of_a_word_of_many_letters():
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000)) + " " + "a" * 50_000
+    ((ids, _),) = bpe.WordBPE(WORD).encode([text])
+    assert ids == " ".join(map(str, Tokenizer.from_file(WORD).encode(text, add_special_tokens=False).ids))
+
+
 def test_packing_places_every_token_once(spark):
     docs, rows = frame(spark)
     t = Tokenizer.from_file(BYTE)

@@ -7,10 +7,18 @@ inside both tokens crosses their border. The test runs on arrays over all
 pairs at once and its verdicts are kept; words that fail are merged exactly.
 Words known from earlier batches of a task are not split again.
 
+Text is normalised and split into words by one quick regular expression where
+that surely does what the library does: texts whose every character is no mark
+and no Hangul letter of its own, and comes out of the library's normaliser and
+splitter as it does here, which is asked once per character. All other texts
+are normalised and split by the library, whose tables of Unicode are of another
+version than Python's.
+
 Defined results: a null or empty text has no ids and decodes to the empty
-text; repeated rows are encoded once each; an empty table gives an empty
-result; only the named columns are read. The strings of special tokens in a
-text become their ids, as in the ``tokenizers`` library's default.
+text; repeated rows are encoded once each; very long texts and words are
+encoded whole; an empty table gives an empty result; only the named columns are
+read. The strings of special tokens in a text become their ids, as in the
+``tokenizers`` library's default.
 """
 
 from __future__ import annotations
@@ -38,10 +46,20 @@ END = "</w>"
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
 
+def _lowered(text: str) -> str:
+    """Each character lower-cased by itself, so that a sigma never takes its final form."""
+    return text.replace("Σ", "σ").lower()
+
+
 class WordBPE:
     """Encoder for a vocabulary file whose words end in ``</w>`` and whose text is lower-cased NFC."""
 
     def __init__(self, vocabulary: str):
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(vocabulary)
+        self.normalised, self.pre_split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.simple, self.odd = set(map(chr, range(128))), set()
         with open(vocabulary, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -67,6 +85,10 @@ class WordBPE:
         order = np.argsort(pairs)
         self.pair_keys, self.pair_made = pairs[order], order + self.n_base
         self.longest = max(map(len, self.names))
+        #: the longest token that begins with two letters; others have one
+        self.reach: dict[str, int] = {}
+        for t in self.names:
+            self.reach[t[:2]] = max(len(t), self.reach.get(t[:2], 0))
         self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -88,21 +110,37 @@ class WordBPE:
             return out
         return self._plain(text)
 
-    @staticmethod
-    def _plain(text: str) -> list[str]:
-        # each character is lower-cased by itself, so that a sigma never takes its final form
-        return _WORD.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+    def _plain(self, text: str) -> list[str]:
+        if not text.isascii() and self._holds_odd(text):
+            text = self.normalised(text)
+            return [text[a:b] for _, (a, b) in self.pre_split(text)]
+        return _WORD.findall(_lowered(text))
+
+    def _holds_odd(self, text: str) -> bool:
+        letters = set(text)
+        for c in letters - self.simple - self.odd:
+            (self.simple if self._is_simple(c) else self.odd).add(c)
+        return not letters.isdisjoint(self.odd)
+
+    def _is_simple(self, c: str) -> bool:
+        """Does ``c`` stay apart from its neighbours, and is it changed, and split from letters and signs, as the library does it?"""
+        if unicodedata.category(c)[0] in "MC" or "\u1100" <= c <= "\u11ff":  # Hangul letters join into syllables
+            return False
+        here, there = _lowered(c), self.normalised(c)
+        if here != there and not (here.isspace() and there == " "):
+            return False
+        return all(len(_WORD.findall(x + here + x)) == len(self.pre_split(x + there + x)) for x in "a!")
 
     # -- speculation -----------------------------------------------------------
 
     def greedy(self, letters: str) -> list[int] | None:
         """Numbers of the longest matches from left to right; None where a letter is in no token."""
-        number, out, i, n = self.number, [], 0, len(letters)
+        number, reach, out, i, n = self.number, self.reach, [], 0, len(letters)
         while i < n:
-            if (t := number.get(letters[i:] + END)) is not None:
+            if n - i + len(END) <= self.longest and (t := number.get(letters[i:] + END)) is not None:
                 out.append(t)
                 break
-            for j in range(min(n - 1, i + self.longest), i, -1):
+            for j in range(min(n - 1, i + reach.get(letters[i : i + 2], 1)), i, -1):
                 if (t := number.get(letters[i:j])) is not None:
                     out.append(t)
                     i = j
@@ -183,21 +221,25 @@ class WordBPE:
         if n <= 40:
             return self._merge_short(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := rank.get((symbols[i], symbols[i + 1]))) is not None]
+        # a heap of rank and place in one number; a pair that has changed since has another rank now, or none
+        never = len(rank)
+        heap = [r * n + i for i, p in enumerate(zip(symbols, symbols[1:], strict=False)) if (r := rank.get(p, never)) < never]
         heapq.heapify(heap)
         alive: list[str | None] = list(symbols)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            r, i = divmod(heapq.heappop(heap), n)
             j = after[i]
-            if alive[i] != a or j >= n or alive[j] != b:
+            if j >= n or alive[i] is None or rank.get((alive[i], alive[j])) != r:
                 continue
-            alive[i], alive[j] = a + b, None
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for k in (before[i], i):
-                if k >= 0 and after[k] < n and (r := rank.get((alive[k], alive[after[k]]))) is not None:
-                    heapq.heappush(heap, (r, k, alive[k], alive[after[k]]))
+            alive[i], alive[j] = alive[i] + alive[j], None
+            after[i] = end = after[j]
+            if end < n:
+                before[end] = i
+                if (r := rank.get((alive[i], alive[end]), never)) < never:
+                    heapq.heappush(heap, r * n + i)
+            k = before[i]
+            if k >= 0 and (r := rank.get((alive[k], alive[i]), never)) < never:
+                heapq.heappush(heap, r * n + k)
         return [s for s in alive if s is not None]
 
     def _merge_short(self, symbols: list[str]) -> list[str]:
