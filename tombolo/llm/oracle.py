@@ -78,9 +78,10 @@ FROM d LEFT JOIN bs USING (doc_id) LEFT JOIN s USING (doc_id)"""
 def op4() -> str:
     """All pairs of queries and candidates."""
     return """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+WITH f AS (SELECT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM f),
+q AS (SELECT vec_id, list_transform(min(embedding), lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM f WHERE vec_id % 50 = 0 GROUP BY vec_id),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
-      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+      FROM q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""

@@ -16,9 +16,9 @@ answer. No block or set of queries reaches the driver.
 Defined results: a null vector or one with a null or non-finite component takes
 no part; neither does a row whose id is null; vectors of different lengths are
 not compared; an id that repeats is a candidate as often as it stands, but a
-query once, and never a candidate of its own query; fewer than k candidates
-give fewer rows; an empty table gives an empty result; other columns are
-ignored. Scores beyond 64 bits are cut to the nearest that fits.
+query once, with the smallest of its vectors, and never a candidate of its own
+query; fewer than k candidates give fewer rows; an empty table gives an empty
+result; other columns are ignored. Scores beyond 64 bits are cut to the nearest that fits.
 """
 
 from __future__ import annotations
@@ -129,7 +129,7 @@ def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
     # small tables are dealt to all cores, but never in blocks too small to be worth a look at each query
     n_blocks = max(1, -(-n // block), min(4 * cores, -(-n // LEAST)))
     candidates = rows.select(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("block"), F.lit(False).alias("q"), "id", "v")
-    queries = rows.filter("q").dropDuplicates(["id"]).select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.lit(True).alias("q"), "id", "v")
+    queries = rows.filter("q").groupBy("id").agg(F.min("v").alias("v")).select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.lit(True).alias("q"), "id", "v")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, blocks = [], None  # rows come sorted by block, then candidates before queries
