@@ -5,13 +5,16 @@ beyond ASCII, with A-Z lower-cased. The hash of every k-word gram of a
 document is joined to the places where that gram stands in a license template;
 a match votes for the diagonal (document place minus template place). Votes of
 neighbouring diagonals, which a few inserted or dropped words leave apart, are
-merged into a span, and a span counts if it covers enough of its template and
-its words line up with the template's in order. The templates are a fixed
-list in this module, so their side of the join is broadcast.
+merged into a span, each diagonal with the one before it. A span counts if,
+read from left to right, places of the template that come after all those
+before them make up enough of it; this greedy reading may find less than the
+longest run in order. The templates are a fixed list in this module, so their
+side of the join is broadcast.
 
 Defined results: a null text is the empty text; equal texts share their votes
-and so their labels; an empty table gives an empty result; other columns of the
-input, whatever their names, stay out of the computation.
+and so their labels; rows with a null id are scanned as others are; very long
+texts are scanned whole; an empty table gives an empty result; other columns of
+the input, whatever their names, stay out of the computation.
 """
 
 from __future__ import annotations
@@ -37,10 +40,26 @@ TEMPLATES = (
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
     ("bsd-notice", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mit-warranty", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("bsd-source", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-endorsement", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("lgpl-line", "under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("agpl-line", "under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("epl-2.0", "made available under the terms of the eclipse public license 2 0"),
+    ("bsl-1.0", "distributed under the boost software license version 1 0"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("cc0-1.0", "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
+    ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-sa-4.0", "licensed under a creative commons attribution sharealike 4 0 international license"),
     ("isc-notice", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("spdx-mit", "spdx license identifier mit"),
     ("spdx-apache-2.0", "spdx license identifier apache 2 0"),
     ("spdx-gpl", "spdx license identifier gpl"),
+    ("spdx-lgpl", "spdx license identifier lgpl"),
+    ("spdx-agpl", "spdx license identifier agpl"),
+    ("spdx-bsd", "spdx license identifier bsd"),
+    ("spdx-mpl-2.0", "spdx license identifier mpl 2 0"),
 )
 K = 3
 #: Diagonals at most this far apart merge into one span.
@@ -83,16 +102,13 @@ def votes(texts: DataFrame, templates=TEMPLATES, k: int = K) -> DataFrame:
 def spans(hits: DataFrame, near: int = NEAR, least: float = LEAST) -> DataFrame:
     """(blob, template, label, first, last, score) of the verified spans.
 
-    The votes of a diagonal are counted; diagonals of a text and template that
-    lie within ``near`` of the one before and whose places are near each other
-    too form one span. A template's place counts once in a span, and places
-    that stand out of order are not counted: verification keeps a vote only if
-    no earlier place of the text in this span matched a later template place.
+    Diagonals of a text and template that lie within ``near`` of the one before
+    form one span. A template's place counts once in a span, and places that
+    stand out of order are not counted: verification keeps a vote only if no
+    vote kept before it in this span matched the same or a later template place.
     """
-    diagonals = hits.groupBy("blob", "template", "label", "n_grams", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
-        F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_set(F.struct("pos", "at")).alias("places")
-    )
-    # how far a span reaches is bounded by its template, so the groups below are small however often a text repeats a license
+    diagonals = hits.groupBy("blob", "template", "label", "n_grams", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set(F.struct("pos", "at")).alias("places"))
+    # a group is the votes of one text for one template: no more than the text's words times that template's places with one gram
     ordered = "PARTITION BY blob, template ORDER BY diagonal"
     marked = diagonals.withColumn("new", F.expr(f"CASE WHEN diagonal - lag(diagonal) OVER ({ordered}) <= {near} THEN 0 ELSE 1 END"))
     numbered = marked.withColumn("span", F.expr(f"sum(new) OVER ({ordered} ROWS UNBOUNDED PRECEDING)"))
