@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -18,12 +19,8 @@ def brute(texts):
     for t in texts:
         w = re.findall(r"\w+", (t or "").lower())
         bags.append(Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter())
-    hashes = nd.WordHashes()
-    of = lambda t: nd.shingles([t or ""], hashes)[1]
-    cells = np.bincount(np.concatenate([nd._cell(np.unique(of(t))) for t in texts]), minlength=nd.CELLS)
-    idf = nd.inverse_frequencies(len(texts), cells)
-    # a shingle's weight by its words; ``of`` gives hashes in another order, so each is hashed alone
-    weight = {g: float(idf[nd._cell(of(" ".join(g)))[0]]) for b in bags for g in b}
+    df, n = Counter(g for b in bags for g in b), len(texts)
+    weight = {g: 1 + math.log((1 + n) / (1 + df[g])) / math.log(1 + n) for g in df}
     parent = list(range(len(texts)))
 
     def find(i):

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -83,6 +84,86 @@ def test_packing_places_every_token_once(spark):
     assert len(spans) <= 1.1 * -(-total // 1024) + 1
 
 
+def test_fit_against_coordinate_descent():
+    """The fitted repeat counts are as near to the histogram as those of a plain solver, and a plan places every piece once."""
+    rng, capacity = np.random.default_rng(1), 24
+    for _ in range(4):
+        counts = np.concatenate([[0], rng.integers(0, 60, capacity - 1), [0]])
+        shapes = packing.patterns(capacity, np.flatnonzero(counts))
+        matrix = np.zeros((len(counts), len(shapes)))
+        for j, shape in enumerate(shapes):
+            for n in shape[shape > 0]:
+                matrix[n, j] += 1
+        root = np.sqrt(np.array([0.0] + [0.09] * 8 + [1.0] * (capacity - 8)))
+        a, b = matrix * root[:, None], counts * root
+        x = np.zeros(len(shapes))
+        for _ in range(3000):
+            for j in range(len(x)):
+                x[j] = max(0.0, x[j] + a[:, j] @ (b - a @ x) / (a[:, j] @ a[:, j]))
+        loss = lambda y: ((a @ y - b) ** 2).sum()  # noqa: B023, E731
+        assert loss(packing.fit(shapes, counts.astype(float))) <= loss(x) + 1e-3 * (b @ b)
+        placed = np.zeros(len(counts), int)
+        for lengths, repeats in packing.plan(counts, capacity):
+            assert sum(lengths) <= capacity
+            for n in lengths:
+                placed[n] += repeats
+        assert (placed == counts).all()
+
+
+def test_languages_against_plain_loops(spark):
+    """Binding, bundling and cosines with loops over letters."""
+    rng, dimension = random.Random(6), 64
+    words = {"xx": "alpha beta gamma delta", "yy": "über straße fünf größe", "zz": "один два три"}
+    rows = [(" ".join(rng.choice(words[lang].split()) for _ in range(rng.randrange(1, 30))), lang) for lang in words for _ in range(12)]
+    rows += [("A", "xx"), ("ab", "yy"), ("12 !!", "zz"), ("", "xx"), ("x--y..z", "zz"), rows[0], ("alpha " * 3000, "xx"), ("İé ß", "yy")]
+
+    def bundle(text):
+        marks = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+        while "  " in marks:
+            marks = marks.replace("  ", " ")
+        total = np.zeros(dimension)
+        for i in range(len(marks) - 2):
+            if marks[i : i + 3].strip():
+                bound = np.ones(dimension)
+                for place, c in enumerate(marks[i : i + 3]):
+                    bound *= np.roll(langid.letter_vectors(np.array([0 if c == " " else ord(c)]), dimension)[0], 2 - place)
+                total += bound
+        return total
+
+    unit = lambda v: v / np.linalg.norm(v) if v.any() else v
+    prototypes = {lang: unit(sum(bundle(t) for t, own in rows if own == lang)) for lang in sorted(words)}
+    middle = sum(prototypes.values()) / len(prototypes)
+    frame = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)] + [(900, None, "xx"), (901, "unseen", None)], "doc_id long, text string, lang string").repartition(3)
+    names, learned = langid.fit(frame, dimension=dimension)
+    assert names == sorted(words)
+    np.testing.assert_allclose(learned, [prototypes[x] for x in names], atol=1e-9)
+    for r in langid.predict(frame, names, learned).collect():
+        text = r["text"] or ""
+        if not any(map(str.isalpha, text)):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        own = unit(unit(bundle(text)) - middle)
+        cosines = {lang: own @ unit(p - middle) for lang, p in prototypes.items()}
+        best = max(cosines.values())
+        assert cosines[r["lang_pred"]] >= best - 1e-5 and abs(r["score"] - min(max(best, 0), 1)) < 1e-5
+
+
+def test_columns_that_stages_use_themselves_stay(spark):
+    taken = ["score", "lang_pred", "letters", "blob", "_spans", "_salt", "salt", "row", "held_out", "Score_"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("*", *[F.lit(i).alias(c) for i, c in enumerate(taken)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for table in (docs, docs.limit(0)):
+            got = stage(spark, table, SF)
+            assert got.columns == docs.columns, name
+            rows = got.collect()
+            assert all(r[c] == i for r in rows for i, c in enumerate(taken)) and bool(rows) == (table is docs)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_token_counts_against_dynamic_programming(spark):
     docs, rows = frame(spark)
     unigram = token_counts.model(BYTE)

@@ -11,8 +11,9 @@ size depends on the capacity alone; each piece finds its slot by its rank among
 the pieces of its length.
 
 Defined results: a null or empty text is one piece that holds the end token;
-repeated rows are packed once each; an empty table gives an empty result; other
-columns of the input are ignored.
+repeated rows are packed once each; rows with a null id are packed as others
+are; very long texts are tokenised whole and cut; an empty table gives an empty
+result; other columns of the input are ignored.
 """
 
 from __future__ import annotations

@@ -13,8 +13,8 @@ normalised over the vocabulary. Of segmentations with the same score the one
 with the fewest pieces counts.
 
 Defined results: a null or empty text has no pre-tokens, no tokens and score 0;
-repeated rows are counted once each; an empty table gives an empty result; only
-the named columns are read.
+repeated rows are counted once each; very long texts and pre-tokens are counted
+whole; an empty table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
