@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tombolo.llm import langid, near_dup, packing, secret_scan
-from tombolo.llm.common import passing, shared_path, table, unused, written
+from tombolo.llm.common import clear, mark, shared_path, table, unused, written
 
 #: Texts whose distinct words have so many letters, and are no nearer to a learned
 #: language than this, are in none of them; a text of fewer letters says too little
@@ -63,8 +63,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, begin = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
-        with passing(spark):
-            docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name)
+        clear(spark, begin)
     return STAGES[-1][1](spark, docs, sf_dir)

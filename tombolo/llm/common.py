@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow.compute as pc
@@ -98,15 +97,17 @@ def _files(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-@contextmanager
-def passing(spark: SparkSession) -> Iterator[None]:
-    """Removes what is written inside, but for the table written last, which is what it was for."""
-    begin = len(_kept)
-    yield
-    for path in _kept[begin:-1]:
+def mark() -> int:
+    """A point in what has been written, for ``clear``."""
+    return len(_kept)
+
+
+def clear(spark: SparkSession, since: int) -> None:
+    """Remove what was written since ``mark`` gave ``since``, but for the table written last, which the others were for."""
+    for path in _kept[since:-1]:
         where, files = _files(spark, path)
         files.delete(where, True)
-    del _kept[begin:-1]
+    del _kept[since:-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

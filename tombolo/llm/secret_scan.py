@@ -34,6 +34,7 @@ LEDGER = "blob string, rules array<string>, found array<struct<start:int,end:int
 _SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 #: Code points of the blocks that a text is cut into to take pieces from it.
 _BLOCK = 4096
+_DONE = ".done"
 
 
 @dataclass(frozen=True)
@@ -100,15 +101,18 @@ def scan(pending: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 class Ledger:
-    """Scanned blobs in Parquet folders below ``path``, which are only ever added to; a folder counts once it is complete."""
+    """Scanned blobs in Parquet folders below ``path``, which are only ever added to; a folder counts once a mark of its name says that it is complete."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _file(self, name: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def rows(self) -> DataFrame:
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        done = [str(s.getPath().getParent()) for s in files.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(root, "*/_SUCCESS")) or []]
+        every, files = self._file(f"*{_DONE}")
+        done = [str(s.getPath()).removesuffix(_DONE) for s in files.globStatus(every) or []]
         return self.spark.read.schema(LEDGER).parquet(*done) if done else self.spark.createDataFrame([], LEDGER)
 
     def unseen(self, distinct: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -124,7 +128,10 @@ class Ledger:
         A folder that a lost run left unfinished is never read; two runs at
         once may scan a blob twice, which changes nothing.
         """
-        scan(self.unseen(blobs(versions, content), rules), rules).write.parquet(f"{self.path}/{uuid.uuid4().hex}")
+        folder = uuid.uuid4().hex
+        scan(self.unseen(blobs(versions, content), rules), rules).write.parquet(f"{self.path}/{folder}")
+        where, files = self._file(folder + _DONE)
+        files.create(where).close()
 
     def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """(blob, spans) of all blobs with a finding of the present versions of ``rules``, in order of start and rule."""
