@@ -15,10 +15,11 @@ def brute(text, k=fp.K, window=fp.WINDOW):
         return []
     hashes = []
     for i in range(max(1, len(words) - k + 1)):
-        h = 42
+        h = 0
         for w in words[i : i + k]:
-            h = xxhash.xxh64_intdigest(w.encode(), h)
-        hashes.append(h & 0x7FFFFFFF)
+            signed = (xxhash.xxh64_intdigest(w.encode(), 42) + 2**63) % 2**64 - 2**63
+            h = (h * fp.BASE + signed) % fp.PRIME
+        hashes.append(h)
     chosen = set()
     for i in range(max(1, len(hashes) - window + 1)):
         part = hashes[i : i + window]

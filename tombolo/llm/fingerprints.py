@@ -1,23 +1,28 @@
 """Document fingerprints by winnowing.
 
 Words are maximal runs of letters and digits, lower-cased. Every run of five
-words has a hash, the window of words rolling on by one; of every eight hashes in a row the
-smallest is chosen, the rightmost of equal ones, and kept with its place. Two
+words has a rolling hash, the polynomial of its words' hashes modulo the prime
+2**31 - 1, so that a word is hashed once and not once per run; of every eight
+hashes in a row the smallest is chosen, the rightmost of equal ones, and kept
+with its place. Two
 texts that share twelve words in a row (window + k - 1) therefore share a
 chosen hash at the two places where that passage has it, and no passage of
 fewer than five words can make them share one. A text of one to four words has
 the one hash of all of its words; one without words has an empty fingerprint.
 
-All of it is SQL on arrays: the minima of windows of eight come from three
-rounds of pairwise minima, over numbers that hold the hash above and the
-place, counted down, below.
+All of it is SQL on arrays, without a loop from place to place: the hash of a
+run of a + b words comes from those of its first a and last b, for all places
+at once, and the minima of windows of eight come from three rounds of pairwise
+minima, over numbers that hold the hash above and the place, counted down,
+below.
 
 Likeness is the Jaccard similarity of the sets of chosen hashes; of two texts
 without words it is 1.
 
 Defined results: a null text is the empty text; the document after a document
 is the one with the next smaller id, after the smallest the largest, so that a
-lone document follows itself; rows with a null id come last; rows that repeat an
+lone document follows itself; very long texts are hashed whole, in time linear
+in their length; rows with a null id come last; rows that repeat an
 id have the same next document, and for such an id the smallest text stands as
 the next; an empty table gives an empty result; other columns are ignored.
 """
@@ -31,8 +36,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, WINDOW = 5, 8
-#: Ranges of ids per shuffle partition.
-RANGES = 8
+#: Ranges of ids per shuffle partition; the driver's sample of ids grows with it.
+RANGES = 2
+#: The modulus and the base of the rolling hash.
+PRIME, BASE = (1 << 31) - 1, 1_000_003
 _BITS = 31
 #: Places and hashes are kept in 31 bits each.
 _MASK = (1 << _BITS) - 1
@@ -42,6 +49,29 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def rolled(k: int) -> str:
+    """SQL for the hashes of all runs of ``k`` words of the array ``w``; of fewer words the one hash of all, of none no hash.
+
+    The hash is h(1) B**(k-1) + ... + h(k). Runs of twice the words come from two
+    runs, and one word more from a run and a word, as the bits of ``k`` say.
+    """
+    let = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
+    added = lambda a, b, n, m: f"zip_with(slice({a}, 1, size(h) - {n + m - 1}), slice({b}, {n + 1}, size(h) - {n + m - 1}), (x, y) -> (x * {pow(BASE, m, PRIME)}L + y) % {PRIME}L)"
+    steps, n = [], 1
+    for bit in bin(k)[3:]:
+        now = f"g{n}" if n > 1 else "h"
+        steps.append((added(now, now, n, n), f"g{2 * n}"))
+        n *= 2
+        if bit == "1":
+            steps.append((added(f"g{n}", "h", n, 1), f"g{n + 1}"))
+            n += 1
+    body = steps[-1][1] if steps else "h"
+    for value, name in reversed(steps):
+        body = let(value, name, body)
+    few = f"CASE WHEN size(h) = 0 THEN h ELSE array(aggregate(h, 0L, (a, x) -> (a * {BASE}L + x) % {PRIME}L)) END"
+    return let(f"transform(w, x -> pmod(xxhash64(x), {PRIME}L))", "h", f"CASE WHEN size(h) < {k} THEN {few} ELSE {body} END")
+
+
 def winnowed(text: str, k: int = K, window: int = WINDOW) -> Column:
     """The chosen (hash, place) of column ``text`` in order of place, as an array of longs, hash above and place below.
 
@@ -50,10 +80,7 @@ def winnowed(text: str, k: int = K, window: int = WINDOW) -> Column:
     """
     let = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
     # numbers sort by hash, then by place from the right
-    hashed = (
-        f"CASE WHEN size(w) = 0 THEN CAST(array() AS array<bigint>) ELSE transform(sequence(0, greatest(size(w) - {k}, 0)), "
-        f"i -> shiftleft(xxhash64(slice(w, i + 1, {k})) & {0x7FFFFFFF}L, {_BITS}) | ({_MASK}L - i)) END"
-    )
+    hashed = f"transform({rolled(k)}, (x, i) -> shiftleft(x, {_BITS}) | ({_MASK}L - i))"
     steps, reach, body = [], 1, None
     while reach * 2 <= window:
         steps.append(reach)
