@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 K, WINDOW = 5, 8
 #: Ranges of ids per shuffle partition; the driver's sample of ids grows with it.
-RANGES = 2
+RANGES = 4
 #: The modulus and the base of the rolling hash.
 PRIME, BASE = (1 << 31) - 1, 1_000_003
 _BITS = 31
