@@ -61,7 +61,7 @@ COPY_BLOCK = 1 << 17
 #: Members of a bucket in a tile, and how many times as many may go past it in one task.
 TILE, LANE = 256, 16
 #: Members of a bucket that one task compares with the bucket's leader.
-FOLLOWERS = 4096
+FOLLOWERS = 256
 _WORD = re.compile(r"\w+")
 _U = np.uint64
 
