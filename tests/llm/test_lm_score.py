@@ -36,11 +36,13 @@ def test_scores_against_brute_force(spark, order):
     texts = [" ".join(rng.choice("abcdefg é Ж x9".split()) for _ in range(rng.randint(0, 30))) for _ in range(40)]
     texts += [None, "", "only once here", texts[0], texts[0], "the " * 2000]
     frame = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], SCHEMA).repartition(3)
-    got = {r["doc_id"]: r for r in lm_score.scores(frame, order=order, size=50).collect()}
-    assert len(got) == len(texts)
-    for i, (n, s) in enumerate(brute(texts, order)):
-        assert got[i]["n_words"] == n
-        assert got[i]["score"] == pytest.approx(s, abs=1e-6)
+    for scored in (lm_score.scores(frame, order=order, size=50), lm_score.relational_scores(frame, order=order)):
+        got = {r["doc_id"]: r for r in scored.collect()}
+        assert len(got) == len(texts)
+        for i, (n, s) in enumerate(brute(texts, order)):
+            assert got[i]["n_words"] == n
+            assert got[i]["log_sum"] == pytest.approx(s, abs=1e-6)
+            assert got[i]["score"] == pytest.approx(s / max(n, 1), abs=1e-6)
 
 
 def test_empty_table_and_lone_document(spark):

@@ -7,18 +7,26 @@ the next shorter one counts, times 0.4 for each step. A word seen nowhere else
 scores as if seen once.
 
 Documents are tokenised into chunks of bounded size, which are written once.
-A chunk asks for the totals of its distinct n-grams, an n-gram by its 56-bit
-hash: the requests, with the chunk's own counts, are dealt by hash, so that a
+A chunk asks for the totals of its distinct n-grams, an n-gram by its hash,
+which has so many bits that at most one n-gram in 2**20 shares its own with
+another, whatever the size of the corpus: the requests, with the chunk's own counts, are dealt by hash, so that a
 partition holds one part of the count table, and the totals go back to the
 chunks that asked, where they are joined to the n-grams of every document and
 summed. An n-gram is asked for once per chunk however many documents hold it;
 therefore none is hot.
 
+``relational_scores`` is the same in plain relations, n-grams exploded into rows
+and joined to a table of counts: fit for small corpora, as its shuffles are
+several times the input.
+
+The score of a document is the mean of its words' log scores; their sum, which
+follows a document's length, stands beside it.
+
 Words are maximal runs of letters, digits and underscores, lower-cased.
 
 Defined results: a null text is the empty text, with 0 words and score 0;
-repeated rows count and are scored once each; an empty table gives an empty
-result; other columns are ignored.
+repeated rows count and are scored once each; a very long text is a chunk of its
+own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,13 +45,13 @@ from tombolo.llm.near_dup import _WORD, WordHashes, _mix
 
 ORDER, BACKOFF = 3, 0.4
 #: Words of a chunk, unless a single document has more.
-CHUNK = 1_250_000
+CHUNK = 1_000_000
 #: Distinct n-grams of chunks that a partition of the count table is meant to get.
 SHARE = 3_000_000
 PART_CHARS = 1_000_000
 _U = np.uint64
-#: Bits of an n-gram's hash, and the fewest that tell its bucket.
-HASH_BITS, _BUCKET_BITS = 56, 8
+#: Bits of an n-gram's hash beyond those that number all n-grams, its bits at most, and the fewest that tell its bucket.
+SPARE_BITS, MOST_BITS, _BUCKET_BITS = 20, 60, 8
 _CHUNKS = "chunk long, doc_ids array<long>, sizes binary, words binary, places binary, n long"
 
 
@@ -111,7 +119,12 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", content: str = "text", size:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(content).alias("text")).mapInArrow(run, _CHUNKS)
 
 
-def grams(flat: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
+def hash_bits(words: int, order: int) -> int:
+    """Bits of a hash for a corpus of so many words."""
+    return min(MOST_BITS, (words * order).bit_length() + SPARE_BITS)
+
+
+def grams(flat: np.ndarray, sizes: np.ndarray, order: int, bits: int) -> list[np.ndarray]:
     """For n = 1 to ``order`` the hash of the n-gram that ends at each word; 0 where the document has fewer words before."""
     place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     out = []
@@ -123,47 +136,47 @@ def grams(flat: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
                 before = np.concatenate([np.zeros(1, _U), out[-1][:-1]])[: len(flat)]
                 h = _mix(before * _U(0x9E3779B97F4A7C15) + flat + _U(n))
             out.append(np.where(place >= n - 1, h, _U(0)))
-    return [np.where(place >= n, np.maximum(h >> _U(64 - HASH_BITS), _U(1)), _U(0)) for n, h in enumerate(out)]
+    return [np.where(place >= n, np.maximum(h >> _U(64 - bits), _U(1)), _U(0)) for n, h in enumerate(out)]
 
 
 def _opened(words: bytes, places: bytes, sizes: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(words, "<u8")[_unpacked(places, "<u4")], _unpacked(sizes, "<u4").astype(np.int64)
 
 
-def _asked(flat: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+def _asked(flat: np.ndarray, sizes: np.ndarray, order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of a chunk in order of hash, and their counts."""
-    keys, counts = np.unique(np.concatenate(grams(flat, sizes, order)), return_counts=True)
+    keys, counts = np.unique(np.concatenate(grams(flat, sizes, order, bits)), return_counts=True)
     return (keys[1:], counts[1:]) if len(keys) and keys[0] == 0 else (keys, counts)
 
 
-def requests(chunked: DataFrame, bits: int, order: int) -> DataFrame:
-    """(bucket, chunk, hashes, counts): a chunk's n-grams, by the first ``bits`` bits of their hashes."""
+def requests(chunked: DataFrame, bits: int, bucket_bits: int, order: int) -> DataFrame:
+    """(bucket, chunk, hashes, counts): a chunk's n-grams, by the first ``bucket_bits`` bits of their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 get = lambda name: batch.column(name)[row].as_py()  # noqa: B023, E731
-                keys, counts = _asked(*_opened(get("words"), get("places"), get("sizes")), order)
-                bucket = (keys >> _U(HASH_BITS - bits)).astype(np.int64)
+                keys, counts = _asked(*_opened(get("words"), get("places"), get("sizes")), order, bits)
+                bucket = (keys >> _U(bits - bucket_bits)).astype(np.int64)
                 edges = np.flatnonzero(np.diff(bucket)) + 1
                 parts = [(a, b) for a, b in zip([0, *edges], [*edges, len(keys)], strict=True) if a < b]
                 if parts:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([bucket[a] for a, _ in parts], pa.int64()), pa.array([get("chunk")] * len(parts), pa.int64()), pa.array([_short(keys[a:b], int(bucket[a]) << (HASH_BITS - bits)) for a, b in parts], pa.binary()), pa.array([_packed(counts[a:b].astype("<u4")) for a, b in parts], pa.binary())],
+                        [pa.array([bucket[a] for a, _ in parts], pa.int64()), pa.array([get("chunk")] * len(parts), pa.int64()), pa.array([_short(keys[a:b], int(bucket[a]) << (bits - bucket_bits)) for a, b in parts], pa.binary()), pa.array([_packed(counts[a:b].astype("<u4")) for a, b in parts], pa.binary())],
                         ["bucket", "chunk", "hashes", "counts"],
                     )
 
     return chunked.select("chunk", "sizes", "words", "places").mapInArrow(run, "bucket long, chunk long, hashes binary, counts binary")
 
 
-def replies(asked: DataFrame, partitions: int, bits: int) -> DataFrame:
+def replies(asked: DataFrame, partitions: int, bits: int, bucket_bits: int) -> DataFrame:
     """(chunk, bucket, totals): the counts of each request's n-grams in all other chunks, in the request's order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
 
         def answered() -> pa.RecordBatch:
-            keys = [_long(h, current << (HASH_BITS - bits)) for _, h, _ in held]
+            keys = [_long(h, current << (bits - bucket_bits)) for _, h, _ in held]
             _, which = np.unique(np.concatenate(keys), return_inverse=True)
             own = np.concatenate([_unpacked(c, "<u4") for _, _, c in held])
             others = np.bincount(which, own)[which] - own  # mostly 0, and a chunk knows its own counts
@@ -185,17 +198,18 @@ def replies(asked: DataFrame, partitions: int, bits: int) -> DataFrame:
     return asked.repartition(partitions, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(run, "chunk long, bucket long, totals binary")
 
 
-def score_chunk(flat: np.ndarray, sizes: np.ndarray, others: np.ndarray, words: int, order: int = ORDER, backoff: float = BACKOFF) -> np.ndarray:
+def score_chunk(flat: np.ndarray, sizes: np.ndarray, others: np.ndarray, words: int, bits: int, order: int = ORDER, backoff: float = BACKOFF) -> np.ndarray:
     """Sum of log scores per document; ``others`` are the counts in other chunks of this one's distinct n-grams, in order of hash, ``words`` all words of the corpus."""
-    hashes = grams(flat, sizes, order)
-    keys, places, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-    none = int(len(keys) > 0 and keys[0] == 0)  # the place of words without an n-gram comes first and is not asked for
-    places, totals = (places - none).reshape(order, -1), others + times[none:]
+    hashes = grams(flat, sizes, order, bits)
+    keys, times = _asked(flat, sizes, order, bits)
+    # the place of an n-gram among the distinct ones, -1 where a word has none
+    places = [np.where(h > 0, np.searchsorted(keys, h), -1) for h in hashes]
+    totals = others + times
     owner = np.repeat(np.arange(len(sizes)), sizes)
     rest = (words - sizes)[owner].astype(np.float64)  # words of the other documents
     elsewhere = []  # counts of each word's n-grams in the other documents
     for at in places:
-        _, which, own = np.unique(owner * len(keys) + at, return_inverse=True, return_counts=True)
+        _, which, own = np.unique(owner * (len(keys) + 1) + at, return_inverse=True, return_counts=True)
         elsewhere.append(np.where(at < 0, 0, totals[at] - own[which]) if len(totals) else np.zeros(0))
     score = np.log(np.maximum(elsewhere[0], 1) / np.maximum(rest, 1))
     context = [np.concatenate([np.zeros(1), e[:-1]])[: len(flat)] for e in elsewhere]
@@ -209,15 +223,23 @@ def score_chunk(flat: np.ndarray, sizes: np.ndarray, others: np.ndarray, words:
     return np.bincount(owner, score, len(sizes)) if len(flat) else np.zeros(len(sizes))
 
 
+_SCORES = "doc_id long, n_words long, score double, log_sum double"
+
+
+def _scored(ids: list, sizes: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums / np.maximum(sizes, 1), pa.float64()), pa.array(sums, pa.float64())], ["doc_id", "n_words", "score", "log_sum"])
+
+
 def scores(docs: DataFrame, doc_id: str = "doc_id", content: str = "text", order: int = ORDER, backoff: float = BACKOFF, size: int = CHUNK) -> DataFrame:
-    """(doc_id, n_words, score, mean): the sum of a document's log scores and their mean per word."""
+    """(doc_id, n_words, score, log_sum): the mean of a document's log scores per word, and their sum."""
     spark = docs.sparkSession
     chunked = written(chunks(docs, doc_id, content, size), "lm-chunks")
     words = chunked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    bits = hash_bits(words, order)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     partitions = max(width, -(-words * order // SHARE))
-    bits = max(_BUCKET_BITS, (4 * partitions - 1).bit_length())
-    answers = replies(requests(chunked, bits, order), partitions, bits)
+    bucket_bits = min(bits, max(_BUCKET_BITS, (4 * partitions - 1).bit_length()))
+    answers = replies(requests(chunked, bits, bucket_bits, order), partitions, bits, bucket_bits)
     both = chunked.select("chunk", F.lit(-1).cast("long").alias("bucket"), "doc_ids", "sizes", "words", "places", F.lit(None).cast("binary").alias("totals")).unionByName(answers, allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,8 +249,8 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", content: str = "text", order
             ids, sizes_, words_, places = held
             flat, sizes = _opened(words_, places, sizes_)
             total = np.concatenate([_unpacked(t, "<u8") for t in totals]).astype(np.float64) if totals else np.zeros(0)
-            sums = score_chunk(flat, sizes, total, words, order, backoff)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(sums / np.maximum(sizes, 1), pa.float64())], ["doc_id", "n_words", "score", "mean"])
+            sums = score_chunk(flat, sizes, total, words, bits, order, backoff)
+            return _scored(ids, sizes, sums)
 
         for batch in batches:
             for row in range(batch.num_rows):
@@ -242,4 +264,30 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", content: str = "text", order
         if held:
             yield scored()
 
-    return both.repartition(width, "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(run, "doc_id long, n_words long, score double, mean double")
+    return both.repartition(width, "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(run, _SCORES)
+
+
+def relational_scores(docs: DataFrame, doc_id: str = "doc_id", content: str = "text", order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
+    """The rows of ``scores`` by relations: documents' n-grams exploded and counted, joined to the table of all counts, and brought back by document."""
+    rows = written(chunks(docs, doc_id, content, 1), "lm-documents")  # a document each
+    words = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    bits = hash_bits(words, order)
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                get = lambda name: batch.column(name)[row].as_py()  # noqa: B023, E731
+                keys, counts = _asked(*_opened(get("words"), get("places"), get("sizes")), order, bits)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), get("chunk"), np.int64)), pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64))], ["chunk", "gram", "own"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                flat, sizes = _opened(r["words"], r["places"], r["sizes"])
+                others = np.array([x["others"] for x in r["found"] or []], np.float64)
+                yield _scored(r["doc_ids"], sizes, score_chunk(flat, sizes, others, words, bits, order, backoff))
+
+    exploded = rows.select("chunk", "sizes", "words", "places").mapInArrow(explode, "chunk long, gram long, own long")
+    table = exploded.groupBy("gram").agg(F.sum("own").alias("total"))
+    found = exploded.join(table, "gram").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("gram", (F.col("total") - F.col("own")).alias("others")))).alias("found"))
+    return rows.join(found, "chunk", "left").select("doc_ids", "sizes", "words", "places", "found").mapInArrow(score, _SCORES)
