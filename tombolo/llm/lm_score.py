@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tombolo.llm.common import in_parts, written
+from tombolo.llm.common import in_parts, split_join, written
 from tombolo.llm.near_dup import _WORD, WordHashes, _mix
 
 ORDER, BACKOFF = 3, 0.4
@@ -149,6 +149,26 @@ def _asked(flat: np.ndarray, sizes: np.ndarray, order: int, bits: int) -> tuple[
     return (keys[1:], counts[1:]) if len(keys) and keys[0] == 0 else (keys, counts)
 
 
+def _placed(flat: np.ndarray, sizes: np.ndarray, order: int, bits: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """What ``_asked`` gives, and for each order the place of every word's n-gram among the distinct ones, -1 where it has none.
+
+    Orders are sorted one by one and then merged, which takes less memory than all at once.
+    """
+    own = []
+    for h in grams(flat, sizes, order, bits):
+        found, which, counts = np.unique(h, return_inverse=True, return_counts=True)
+        none = int(len(found) > 0 and found[0] == 0)
+        own.append((found[none:], (which - none).astype(np.int32), counts[none:]))
+    keys = np.sort(np.concatenate([found for found, _, _ in own]), kind="stable")  # merges sorted runs
+    keys = keys[np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]])]
+    times, places = np.zeros(len(keys), np.int64), []
+    for found, which, counts in own:
+        at = np.searchsorted(keys, found)
+        times[at] += counts
+        places.append(np.append(at, -1)[which])
+    return keys, times, places
+
+
 def requests(chunked: DataFrame, bits: int, bucket_bits: int, order: int) -> DataFrame:
     """(bucket, chunk, hashes, counts): a chunk's n-grams, by the first ``bucket_bits`` bits of their hashes."""
 
@@ -200,10 +220,7 @@ def replies(asked: DataFrame, partitions: int, bits: int, bucket_bits: int) -> D
 
 def score_chunk(flat: np.ndarray, sizes: np.ndarray, others: np.ndarray, words: int, bits: int, order: int = ORDER, backoff: float = BACKOFF) -> np.ndarray:
     """Sum of log scores per document; ``others`` are the counts in other chunks of this one's distinct n-grams, in order of hash, ``words`` all words of the corpus."""
-    hashes = grams(flat, sizes, order, bits)
-    keys, times = _asked(flat, sizes, order, bits)
-    # the place of an n-gram among the distinct ones, -1 where a word has none
-    places = [np.where(h > 0, np.searchsorted(keys, h), -1) for h in hashes]
+    keys, times, places = _placed(flat, sizes, order, bits)
     totals = others + times
     owner = np.repeat(np.arange(len(sizes)), sizes)
     rest = (words - sizes)[owner].astype(np.float64)  # words of the other documents
@@ -264,7 +281,8 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", content: str = "text", order
         if held:
             yield scored()
 
-    return both.repartition(width, "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(run, _SCORES)
+    # about a chunk a task, however large the corpus
+    return both.repartition(max(width, -(-words // size)), "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(run, _SCORES)
 
 
 def relational_scores(docs: DataFrame, doc_id: str = "doc_id", content: str = "text", order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
@@ -289,5 +307,6 @@ def relational_scores(docs: DataFrame, doc_id: str = "doc_id", content: str = "t
 
     exploded = rows.select("chunk", "sizes", "words", "places").mapInArrow(explode, "chunk long, gram long, own long")
     table = exploded.groupBy("gram").agg(F.sum("own").alias("total"))
-    found = exploded.join(table, "gram").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("gram", (F.col("total") - F.col("own")).alias("others")))).alias("found"))
+    # an n-gram stands in no more documents than its total says
+    found = split_join(exploded, table, "gram", F.col("chunk"), rows="total").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("gram", (F.col("total") - F.col("own")).alias("others")))).alias("found"))
     return rows.join(found, "chunk", "left").select("doc_ids", "sizes", "words", "places", "found").mapInArrow(score, _SCORES)
