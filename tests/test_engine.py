@@ -148,6 +148,34 @@ def test_bloom_filters_of_several_blocks_and_too_many_bits(spark, monkeypatch):
         spark.range(1).select(bloom.size_of(F.lit(1 << 62))).collect()
 
 
+def test_all_pairs_are_probed_without_a_shuffle_of_pairs(spark, monkeypatch):
+    for name, small in {"LANE": 3, "PACKED": 16, "PART_WORDS": 300, "TASK_PAIRS": 1000, "BLOCK": 256}.items():
+        monkeypatch.setattr(bloom, name, small)
+    monkeypatch.setattr(bloom, "_BLOCK_BITS", 8)
+    keys = spark.range(230).selectExpr("CASE WHEN id < 160 THEN id % 8 ELSE 8 + id % 2 END AS segment_id", "concat('k', id) AS key").union(spark.createDataFrame([(None, "k1"), (11, None)], "segment_id long, key string"))
+    sizes = [(i, 200) for i in range(8)] + [(8, 350), (9, 350), (10, 0), (11, 10), (None, 10)]
+    asked = spark.range(900).selectExpr("CASE WHEN id < 899 THEN concat('k', id % 300) END AS key")
+    held = {}
+    for r in keys.collect():
+        held.setdefault(r["segment_id"], []).append(r["key"])
+    hashes = {r["key"]: (r["a"], r["b"]) for r in asked.distinct().select("key", *[h.alias(n) for n, h in zip("ab", bloom.fast_hashes(F.col("key")), strict=True)]).collect()}
+    places = lambda key, n: {(hashes[key][0] % n + i * (hashes[key][1] % n)) % n for i in range(bloom.HASHES)}
+    want = []
+    for i, n in sizes[:-1]:
+        bits = set().union(*(places(k, n) for k in held.get(i, []))) if n else set()
+        want += [(i, k, not n or places(k, n) <= bits) for k in hashes]
+    got = bloom.probe_all(keys, asked, sizes)
+    assert got.columns == ["segment_id", "key", "may_contain"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert bloom.probe_all(keys, asked, []).collect() == []
+
+
+def test_bloom_query_shuffles_no_pairs(spark):
+    plan = queries.QUERIES["kv_bloom_probe"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    above = plan.partition("CartesianProduct")
+    assert above[1] and "Aggregate" not in above[0] and "Join" not in above[0]
+
+
 def parsed_lit(n):
     return F.lit(n)
 

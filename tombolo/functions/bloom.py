@@ -9,6 +9,7 @@ and an older value come back.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ BITS_PER_KEY, HASHES = 10, 7
 #: Bits of a filter that lie in one row of its bitmap, and the most that a filter may have.
 _BLOCK_BITS, MOST_BITS = 16, (1 << 32) - 1
 BLOCK = 1 << _BLOCK_BITS
+#: Filters of a lane at most; keys of a packed row, words of a part of the lanes and pairs of a task, about.
+LANE, PACKED, PART_WORDS, TASK_PAIRS = 64, 1 << 8, 1 << 20, 1 << 25
 
 
 def size_of(keys: Column, bits_per_key: int = BITS_PER_KEY) -> Column:
@@ -46,13 +49,16 @@ def positions(one: Column, two: Column, bits: Column, k: int = HASHES) -> Column
 
     Both hashes are reduced first, so that no product leaves 64 bits.
     """
-    some = F.nullif(bits, F.lit(0))
-    one, two = F.pmod(one, some), F.pmod(two, some)
     # an array of expressions is compiled, a function over a sequence is not
-    found = F.array(*[F.pmod(one + i * two, some) for i in range(k)])
+    found = F.array(*_places(one, two, F.nullif(bits, F.lit(0)), k))
     return F.when(bits > 0, found).otherwise(F.array().cast("array<bigint>"))
 
 
+def _places(one: Column, two: Column, bits: Column, k: int = HASHES) -> list[Column]:
+    one, two = F.pmod(one, bits), F.pmod(two, bits)
+    return [F.pmod(one + i * two, bits) for i in range(k)]
+
+
 def build(keys: DataFrame, by: str = "segment_id", key: str = "key", hashes=fast_hashes, bits_per_key: int = BITS_PER_KEY) -> DataFrame:
     """(by, position, bit_count): the set bits of each group's filter, one row per bit.
 
@@ -104,3 +110,57 @@ def all_pairs(keys: DataFrame, sizes: list[tuple[int, int]], by: str = "segment_
     listed = F.from_json(F.lit(json.dumps([{"i": i, "n": n} for i, n in sizes])), "array<struct<i:bigint,n:bigint>>")
     pairs = keys.select(key, one.alias("_one"), two.alias("_two")).distinct().withColumn("_f", F.explode(listed))
     return pairs.select(F.col("_f.i").alias(by), key, F.col("_f.n").alias("bit_count"), "_one", "_two")
+
+
+def lanes(keys: DataFrame, sizes: list[tuple[int, int]], by: str = "segment_id", key: str = "key", hashes=fast_hashes) -> tuple[DataFrame, int]:
+    """(ids, bit_count, words), and in how many parts: filters of one size side by side, up to ``LANE`` of them; bit i of ``words[p]`` is bit p of the filter of ``ids[i]``.
+
+    A key's positions depend on the size alone, so seven words answer it for all
+    filters of a lane. Each of ``sizes`` (by, bit_count) has 1 to ``BLOCK`` bits.
+    """
+    same = {}
+    for i, n in sorted(sizes):
+        same.setdefault(n, []).append(i)
+    listed = [{"n": n, "ids": ids[at : at + LANE]} for n, ids in sorted(same.items()) for at in range(0, len(ids), LANE)]
+    listed = [x | {"lane": at} for at, x in enumerate(listed)]
+    rows = F.explode(F.from_json(F.lit(json.dumps(listed)), "array<struct<lane:int,n:bigint,ids:array<bigint>>>"))
+    every = keys.sparkSession.range(1).select(rows.alias("_l")).select("_l.lane", "_l.ids", F.col("_l.n").alias("bit_count"))
+    one, two = hashes(F.col(key))
+    placed = keys.select(by, one.alias("_one"), two.alias("_two")).join(F.broadcast(every.select("lane", "bit_count", F.posexplode("ids").alias("_slot", by))), by)
+    set_bits = placed.select("lane", F.explode(positions(F.col("_one"), F.col("_two"), F.col("bit_count"))).alias("position"), F.expr("shiftleft(1L, _slot)").alias("bits"))
+    zero = F.lit(0).cast("long")
+    blank = every.select("lane", F.explode(F.sequence(zero, F.col("bit_count") - 1)).alias("position"), zero.alias("bits"))
+    filled = set_bits.filter("position IS NOT NULL").unionByName(blank).groupBy("lane", "position").agg(F.bit_or("bits").alias("bits"))
+    parts = -(-sum(x["n"] for x in listed) // PART_WORDS)
+    words = F.transform(F.array_sort(F.collect_list(F.struct("position", "bits"))), lambda x: x["bits"])
+    found = filled.repartition(parts, "lane").groupBy("lane").agg(words.alias("words"))
+    return found.join(F.broadcast(every), "lane").select("ids", "bit_count", "words"), parts
+
+
+def probe_all(keys: DataFrame, asked: DataFrame, sizes: list[tuple[int, int]], by: str = "segment_id", key: str = "key", hashes=fast_hashes) -> DataFrame:
+    """(by, key, may_contain): every distinct key of ``asked`` for every filter over ``keys``, whose ``sizes`` (by, bit_count) are a manifest's list of segments.
+
+    Packed keys meet lanes of filters, part by part, and a pair becomes a row
+    only as it is returned: keys and filters are shuffled, pairs are not. Filters
+    of more than ``BLOCK`` bits, or of none, are asked by ``probe``.
+    """
+    sizes = [(i, n) for i, n in sizes if i is not None]
+    small = [(i, n) for i, n in sizes if 0 < n <= BLOCK]
+    large = [(i, n) for i, n in sizes if not 0 < n <= BLOCK]
+    found = []
+    if small:
+        filters, parts = lanes(keys, small, by, key, hashes)
+        n_keys = max(1, asked.count())
+        rows, tasks = -(-n_keys // PACKED), -(-n_keys * len(small) // (TASK_PAIRS * parts))
+        one, two = hashes(F.col(key))
+        bucket = F.pmod(F.xxhash64(key), F.lit(rows)).alias("_bucket")
+        # in a struct, as a set drops nulls
+        packed = asked.groupBy(bucket).agg(F.collect_set(F.struct(F.col(key), one.alias("one"), two.alias("two"))).alias("_keys")).select("_keys").repartition(min(rows, tasks))
+        met = packed.hint("shuffle_replicate_nl").crossJoin(filters).select("ids", "bit_count", "words", F.explode("_keys").alias("_k"))
+        held = reduce(Column.bitwiseAND, [F.get("words", p.cast("int")) for p in _places(F.col("_k.one"), F.col("_k.two"), F.col("bit_count"))])
+        lane = met.select("ids", F.col(f"_k.{key}").alias(key), F.coalesce(held, F.lit(-1).cast("long")).alias("_held")).select(key, "_held", F.posexplode("ids").alias("_slot", by))
+        found.append(lane.select(by, key, (F.call_function("getbit", F.col("_held"), F.col("_slot")) == 1).alias("may_contain")))
+    if large or not small:
+        ids = [i for i, _ in large]
+        found.append(probe(bitmaps(build(keys.filter(F.col(by).isin(ids)), by, key, hashes), by), all_pairs(asked, large, by, key, hashes), by, key))
+    return reduce(DataFrame.unionByName, found)

@@ -141,8 +141,7 @@ def kv_filter_sizes(spark, sf_dir):
 
 def kv_bloom_probe(spark, sf_dir):
     sizes = [tuple(r) for r in _sizes(spark, sf_dir).collect()]  # a store has them in its manifest
-    asked = bloom.all_pairs(inputs.probes(spark, sf_dir), sizes, hashes=bloom.portable_hashes)
-    return bloom.probe(bloom.bitmaps(_bits(spark, sf_dir)), asked)
+    return bloom.probe_all(_segments(spark, sf_dir), inputs.probes(spark, sf_dir), sizes, hashes=bloom.portable_hashes)
 
 
 def kv_bloom_rates(spark, sf_dir):
